@@ -70,3 +70,60 @@ def corpus_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.operators.features import idf_table
 
     return idf_table(table(spark, sf_dir, "benchmark"))
+
+
+def search_queries(
+    spark: SparkSession, sf_dir: str, strictness: str = "strict_matching", search_type: str = "timeline"
+) -> DataFrame:
+    """One query per benchmark passage: its opening words; long and short passages bring date limits."""
+    items = table(spark, sf_dir, "benchmark")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    chars = F.length("text")
+    return items.join(vectors, "item_id", "left").select(
+        F.concat(F.lit("q"), F.lpad(F.col("item_id").cast("string"), 8, "0")).alias("qid"),
+        first_words(F.col("text"), 3).alias("q"),
+        F.when(chars > 250, "2024-01-02").otherwise("").alias("min_date"),
+        F.when(chars < 150, "2024-01-02").otherwise("").alias("max_date"),
+        F.lit(strictness).alias("strictness"),
+        F.lit(search_type).alias("search_type"),
+        F.lit(None).cast("timestamp").alias("target_date"),
+        F.col("embedding").alias("query_embedding"),
+    )
+
+
+def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as parsed pages; documents of one source, language and length share an address."""
+    documents = spread(table(spark, sf_dir, "documents"))
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    address = F.concat_ws(
+        "/", F.concat(F.lit("http://www."), "source", F.lit(".example.com")), "lang", F.col("n_chars").cast("string")
+    )
+    return documents.join(events, "doc_id").select(
+        address.alias("url"),
+        first_words(F.col("text"), 12).alias("title"),
+        "text",
+        F.lit(None).cast("string").alias("top_image"),
+        F.array().cast("array<string>").alias("movies"),
+        F.array(F.concat(F.lit("author"), (F.col("doc_id") % 37).cast("string"))).alias("authors"),
+        F.col("ts").alias("publish_date"),
+        F.col("lang").alias("language"),
+        F.col("doc_id").alias("order_key"),
+    )
+
+
+def link_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link-dump lines: page addresses in files by the hour of the event of the same number."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("event_id"), "url", "html")
+    hours = table(spark, sf_dir, "events").select("event_id", "ts")
+    links = F.size(F.regexp_extract_all("html", F.lit("<a "), F.lit(0)))
+    cells = [F.date_format("ts", "yyyyMMddHHmmss"), F.col("event_id").cast("string"), F.lit("0"), links.cast("string")]
+    return pages.join(hours, "event_id").select(
+        F.concat(F.date_format("ts", "yyyyMMddHH"), F.lit("0000.LINKS.TXT.gz")).alias("file_name"),
+        F.concat_ws("\t", *cells, "url", F.lit("end")).alias("value"),
+    )
+
+
+def domain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain list: the front pages of all sites that have an ``.html`` address."""
+    pages = table(spark, sf_dir, "pages").where(F.col("url").endswith(".html"))
+    return pages.select(F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), F.lit("/")).alias("value"))
