@@ -24,6 +24,7 @@ from newsloom.streaming import loops
 AS_OF = "2024-01-04 00:00:00"
 SPLIT_AS_OF = "2024-01-03 12:00:00"
 RECENT_DAYS = 1
+NUDGE = 2e-10
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -38,9 +39,9 @@ def query(build: Query) -> Query:
 
 
 def r6(c: str | Column) -> Column:
-    """Six digits, and no negative zero."""
+    """Six digits.  The nudge moves values of the similarity grid off the rounding border."""
     column = F.col(c) if isinstance(c, str) else c
-    return F.round(column, 6) + F.lit(0.0)
+    return F.round(column + F.lit(NUDGE), 6)
 
 
 def day_text(c: str = "day") -> Column:

@@ -388,7 +388,7 @@ def chain(select: str, extra: dict[str, str] | None = None) -> str:
 
 
 def r6(c: str, name: str | None = None) -> str:
-    return f"round({c}, 6) + 0.0 AS {name or c}"
+    return f"round({c} + 2e-10, 6) AS {name or c}"
 
 
 def greedy_parts(rounds: int = 50) -> dict[str, str]:
@@ -470,7 +470,7 @@ ORACLES: dict[str, str] = {
         SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS publish_date FROM articles
         WHERE ts BETWEEN TIMESTAMP '2024-01-01 06:00:00' AND TIMESTAMP '2024-01-02 18:00:00'""",
     "writeback": """
-        SELECT id, round(CASE WHEN value > 50 THEN value / (value + 50) ELSE c15 END, 6) + 0.0 AS centrality_score_15,
+        SELECT id, round(CASE WHEN value > 50 THEN value / (value + 50) ELSE c15 END + 2e-10, 6) AS centrality_score_15,
                CASE WHEN value > 50 THEN 'centroid_k50' ELSE array_to_string(tags, ',') END AS tags
         FROM scored""",
     "idf_table": f"SELECT term, df, {r6('idf')} FROM idf",
