@@ -16,7 +16,7 @@ from newsloom.plans import daily, ingest
 from newsloom.plans import search as S
 from newsloom.plans.home import home_feed
 from newsloom.schema import CENTRALITY_COLUMNS
-from newsloom.session import materialise, prepare, scratch_path
+from newsloom.session import bounded_broadcast, materialise, prepare, scratch_path
 from newsloom.sources import articles as store
 from newsloom.sources import links
 from newsloom.streaming import loops
@@ -403,7 +403,7 @@ def search_date_filter(spark, sf_dir):
     matched = retrieval.text_scores(X.articles(spark, sf_dir), X.search_queries(spark, sf_dir), ngrams=False)
     dated = matched.select("qid", "id").join(X.articles(spark, sf_dir).select("id", "publish_date"), "id")
     inside = retrieval.in_date_range(F.col("publish_date"), F.col("min_date"), F.col("max_date"))
-    return dated.join(F.broadcast(queries), "qid").where(inside).select("qid", "id")
+    return dated.join(bounded_broadcast(queries), "qid").where(inside).select("qid", "id")
 
 
 @query
@@ -411,7 +411,7 @@ def embedding_search(spark, sf_dir):
     queries = X.search_queries(spark, sf_dir).select("qid", "query_embedding")
     matched = retrieval.text_scores(X.articles(spark, sf_dir), X.search_queries(spark, sf_dir), ngrams=False)
     vectors = X.articles(spark, sf_dir).select("id", "title_embedding")
-    rows = matched.select("qid", "id").join(vectors, "id").join(F.broadcast(queries), "qid")
+    rows = matched.select("qid", "id").join(vectors, "id").join(bounded_broadcast(queries), "qid")
     close = retrieval.embedding_factor(F.col("title_embedding"), F.col("query_embedding"))
     return rows.select("qid", "id", r6(close).alias("factor"))
 

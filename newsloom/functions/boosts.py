@@ -13,9 +13,13 @@ def hours_between(a: Column, b: Column) -> Column:
 
 
 def decay(ts: Column, target: Column, offset: float, rate: float, scale: float) -> Column:
-    """Exponential decay: 1 within ``offset`` hours of the target, ``rate`` after ``scale`` more."""
+    """Exponential decay: 1 within ``offset`` hours of the target, ``rate`` after ``scale`` more.
+
+    A missing date gives 0.
+    """
     late = F.greatest(F.lit(0.0), F.abs(hours_between(target, ts)) - F.lit(float(offset)))
-    return F.coalesce(F.exp(F.lit(log(rate)) / F.lit(float(scale)) * late), F.lit(0.0))
+    boost = F.exp(F.lit(log(rate)) / F.lit(float(scale)) * late)
+    return F.when(ts.isNotNull(), boost).otherwise(0.0)
 
 
 def factor(boost: Column, const: float, weight: float, low: float, high: float) -> Column:

@@ -122,4 +122,5 @@ def feature_table(
     texts = {k: t for k, t in similarity_texts().items() if k in kinds}
     if not texts:
         return base
-    return base.join(tfidf_weights(articles, idf, texts), ["day", "id"], "left")
+    # both sides are spread by id alone, so the weights are not shuffled again
+    return base.join(tfidf_weights(articles, idf, texts).drop("day"), "id", "left")

@@ -26,6 +26,8 @@ WORD_FIELDS = ("article_title", "article_text_beginning", "source_name", "articl
 CENTROID_TAGS = ["centroid_k5", "centroid_k10", "centroid_k20", "centroid_k50"]
 TAG_BONUS = 1.5
 MAX_QUERY_CHARS = 250
+# Words with their lists of asked terms are wider than usual broadcast rows.
+WORD_LISTS = 300_000
 SCORE_DIGITS = 9
 QUERY_BLOCK, ARTICLE_BLOCK = 512, 8192
 
@@ -36,53 +38,54 @@ def guard(queries: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, ngrams: bool = True) -> DataFrame:
-    """``qid, clause, term``: distinct words, and distinct n-grams of the words."""
+    """``qid, is_word, term``: distinct words, and distinct n-grams of the words."""
     words = queries.select("qid", F.explode(F.array_distinct(search_words(F.col("q")))).alias("term"))
-    out = words.select("qid", F.lit("word").alias("clause"), "term")
+    out = words.select("qid", F.lit(True).alias("is_word"), "term")
     if ngrams:
-        grams = words.select("qid", F.lit("ngram").alias("clause"), F.explode(char_ngrams(F.col("term"))).alias("term"))
+        grams = words.select("qid", F.lit(False).alias("is_word"), F.explode(char_ngrams(F.col("term"))).alias("term"))
         out = out.unionByName(grams.distinct())
     return out
 
 
 def field_words(articles: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """``id, field, word``, one row per occurrence."""
+    """``id, field, word``, one row per occurrence; a field is its number in ``FIELD_WEIGHTS``."""
 
     def of_field(name: str) -> Column:
         text = F.array_join(F.col(name), ", ") if name == "article_authors" else F.col(name)
-        return F.transform(search_words(text), lambda w: F.struct(F.lit(name).alias("field"), w.alias("word")))
+        number = F.lit(NGRAM_FIELDS.index(name)).alias("field")
+        return F.transform(search_words(text), lambda w: F.struct(number, w.alias("word")))
 
     words = F.explode_outer(F.concat(*[of_field(name) for name in fields])).alias("x")
     return articles.select("id", words).where(F.col("x").isNotNull()).select("id", "x.field", "x.word")
 
 
-def term_matches(articles: DataFrame, terms: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """``id, clause, field, term, tf`` of the asked terms.
+def term_matches(articles: DataFrame, asked: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``id, field, term_no, tf`` of the asked terms (``term_no, is_word, term``).
 
-    N-grams are looked up once per distinct word of the collection and then joined to the
-    word occurrences, instead of being unfolded for every occurrence.
+    N-grams are looked up once per distinct word of the collection; the list of asked terms
+    of a word is then joined to its occurrences, instead of unfolding every occurrence.
     """
     occurrences = field_words(articles, fields)
-    asked = materialise(terms.select("clause", "term").distinct(), "asked-terms")
     vocabulary = occurrences.select("word").distinct()
-    pieces = vocabulary.select("word", F.lit("word").alias("clause"), F.col("word").alias("term"))
+    pieces = vocabulary.select("word", F.lit(True).alias("is_word"), F.col("word").alias("term"))
     if "article_text" in fields:
         grams = vocabulary.select(
-            "word", F.lit("ngram").alias("clause"), F.explode_outer(char_ngrams(F.col("word"))).alias("term")
+            "word", F.lit(False).alias("is_word"), F.explode_outer(char_ngrams(F.col("word"))).alias("term")
         )
         pieces = pieces.unionByName(grams.where(F.col("term").isNotNull()))
     matching = (
-        pieces.join(bounded_broadcast(asked), ["clause", "term"])
-        .groupBy("word", "clause", "term")
-        .agg(F.count("*").alias("times"))
+        pieces.join(bounded_broadcast(asked), ["is_word", "term"])
+        .groupBy("word")
+        .agg(F.collect_list(F.struct("term_no", "is_word")).alias("terms"))
     )
     matching = materialise(matching, "matching-words")
-    usable = (F.col("clause") == "ngram") | F.col("field").isin(*WORD_FIELDS)
+    word_fields = [NGRAM_FIELDS.index(name) for name in WORD_FIELDS]
     return (
-        occurrences.join(bounded_broadcast(matching), "word")
-        .where(usable)
-        .groupBy("id", "clause", "field", "term")
-        .agg(F.sum("times").alias("tf"))
+        occurrences.join(bounded_broadcast(matching, WORD_LISTS), "word")
+        .select("id", "field", F.explode_outer("terms").alias("x"))
+        .where(~F.col("x.is_word") | F.col("field").isin(word_fields))
+        .groupBy("id", "field", F.col("x.term_no").alias("term_no"))
+        .agg(F.count("*").alias("tf"))
     )
 
 
@@ -98,25 +101,28 @@ def text_scores(articles: DataFrame, queries: DataFrame, ngrams: bool = True) ->
     ``all_score`` repeats ``any_score`` where every query word occurs.
     """
     terms = query_terms(queries, ngrams)
+    numbered = terms.select("is_word", "term").distinct().withColumn("term_no", F.monotonically_increasing_id())
+    # the numbers are fixed by writing them down once
+    asked = materialise(numbered, "asked-terms")
+    terms = terms.join(bounded_broadcast(asked), ["is_word", "term"]).select("qid", "is_word", "term_no")
     fields = NGRAM_FIELDS if ngrams else WORD_FIELDS
-    matches = materialise(term_matches(articles, terms, fields), "term-matches")
+    matches = materialise(term_matches(articles, asked, fields), "term-matches")
     total = articles.agg(F.count("*").alias("n")).scalar()
-    df = matches.groupBy("clause", "field", "term").agg(F.count("*").alias("df"))
-    weight = F.coalesce(*[F.when(F.col("field") == name, F.lit(w)) for name, w in FIELD_WEIGHTS.items()])
+    df = matches.groupBy("field", "term_no").agg(F.count("*").alias("df"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in FIELD_WEIGHTS.values()]), F.col("field") + 1)
     per_term = (
-        matches.join(bounded_broadcast(df), ["clause", "field", "term"])
-        .groupBy("id", "clause", "term")
+        matches.join(bounded_broadcast(df), ["field", "term_no"])
+        .groupBy("id", "term_no")
         .agg(F.sum(weight * bm25(F.col("tf"), F.col("df"), total)).alias("part"))
     )
-    sizes = terms.where(F.col("clause") == "word").groupBy("qid").agg(F.count("*").alias("n_terms"))
-    is_word = F.col("clause") == "word"
+    sizes = terms.where("is_word").groupBy("qid").agg(F.count("*").alias("n_terms"))
     summed = (
-        per_term.join(bounded_broadcast(terms), ["clause", "term"])
+        per_term.join(bounded_broadcast(terms), "term_no")
         .groupBy("qid", "id")
         .agg(
-            F.sum(F.when(is_word, F.col("part")).otherwise(0.0)).alias("any_score"),
-            F.sum(F.when(is_word, 0.0).otherwise(F.col("part"))).alias("ngram_score"),
-            F.count(F.when(is_word, 1)).alias("n_found"),
+            F.sum(F.when(F.col("is_word"), F.col("part")).otherwise(0.0)).alias("any_score"),
+            F.sum(F.when(F.col("is_word"), 0.0).otherwise(F.col("part"))).alias("ngram_score"),
+            F.count(F.when(F.col("is_word"), 1)).alias("n_found"),
         )
     )
     return summed.join(bounded_broadcast(sizes), "qid", "left").select(

@@ -103,7 +103,7 @@ def link_url(url: str) -> str:
 
 def decay(ts: str, target: str, offset: int) -> str:
     hours = f"(epoch_us({target}) - epoch_us({ts})) / 3.6e9"
-    return f"coalesce(exp(ln(0.5) / 12.0 * greatest(0.0, abs({hours}) - {offset})), 0.0)"
+    return f"CASE WHEN {ts} IS NULL THEN 0.0 ELSE exp(ln(0.5) / 12.0 * greatest(0.0, abs({hours}) - {offset})) END"
 
 
 def factor(boost: str, const: float, weight: float, low: float, high: float) -> str:

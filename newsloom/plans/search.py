@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import fuzzy, rerank
 from newsloom.operators.retrieval import guard, retrieve
-from newsloom.session import materialise
+from newsloom.session import bounded_broadcast, materialise
 
 LEVELS = ("very_strict_matching", "strict_matching", "lenient_matching", "very_lenient_matching")
 RESULTS = 500
@@ -22,7 +22,7 @@ def fuzzy_filter(hits: DataFrame, articles: DataFrame, queries: DataFrame) -> Da
     levels = guard(queries).select(
         "qid", "q", "strictness", (F.col("strictness") == LEVELS[0]).alias("title_only")
     )
-    hits = hits.join(F.broadcast(levels.select("qid", "strictness")), "qid")
+    hits = hits.join(bounded_broadcast(levels.select("qid", "strictness")), "qid")
     free = hits.where(F.col("strictness") == LEVELS[3])
     bound = hits.where(F.col("strictness").isin(*LEVELS[:3]))
     scores = fuzzy.hit_scores(
@@ -43,7 +43,7 @@ def search(articles: DataFrame, queries: DataFrame, as_of, recent_days: int = 7)
     """Complete search with relevance rank; timeline searches drop undated hits."""
     hits = search_hits(articles, queries, as_of)
     kinds = queries.select("qid", "search_type")
-    hits = hits.join(F.broadcast(kinds), "qid").where(
+    hits = hits.join(bounded_broadcast(kinds), "qid").where(
         (F.col("search_type") != "timeline") | F.col("publish_date").isNotNull()
     )
     return rerank.interleave(hits, as_of, recent_days)

@@ -43,9 +43,9 @@ def scan_links(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
     return split_lines(lines)
 
 
-def present_files(grid: DataFrame, files: DataFrame) -> DataFrame:
-    """Grid entries whose file exists."""
-    return grid.join(files.select("file_name").distinct(), "file_name", "left_semi")
+def present_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows whose ``file_name`` occurs in ``files``: grid entries with a dump, or links of grid files."""
+    return rows.join(bounded_broadcast(files.select("file_name").distinct()), "file_name", "left_semi")
 
 
 def domain_names(lines: DataFrame, column: str = "value") -> DataFrame:
