@@ -67,12 +67,12 @@ def term_matches(articles: DataFrame, asked: DataFrame, fields: tuple[str, ...])
     """
     occurrences = field_words(articles, fields)
     vocabulary = occurrences.select("word").distinct()
-    pieces = vocabulary.select("word", F.lit(True).alias("is_word"), F.col("word").alias("term"))
-    if "article_text" in fields:
-        grams = vocabulary.select(
-            "word", F.lit(False).alias("is_word"), F.explode_outer(char_ngrams(F.col("word"))).alias("term")
-        )
-        pieces = pieces.unionByName(grams.where(F.col("term").isNotNull()))
+    itself = F.array(F.struct(F.lit(True).alias("is_word"), F.col("word").alias("term")))
+    grams = F.transform(
+        char_ngrams(F.col("word")), lambda g: F.struct(F.lit(False).alias("is_word"), g.alias("term"))
+    )
+    pieces = F.concat(itself, grams) if "article_text" in fields else itself
+    pieces = vocabulary.select("word", F.explode_outer(pieces).alias("x")).select("word", "x.is_word", "x.term")
     matching = (
         pieces.join(bounded_broadcast(asked), ["is_word", "term"])
         .groupBy("word")
