@@ -11,7 +11,7 @@ from newsloom import fixtures as X
 from newsloom.functions import boosts, text, urls
 from newsloom.operators import centroids, coverage, dedup, fuzzy, html, rerank, retrieval
 from newsloom.operators import tiles as T
-from newsloom.operators.features import SPARSE_KINDS, feature_table, similarity_texts, tfidf_weights
+from newsloom.operators.features import SPARSE_KINDS, feature_table, similarity_texts, tfidf_weights, with_gazetteer
 from newsloom.plans import daily, ingest
 from newsloom.plans import search as S
 from newsloom.plans.home import home_feed
@@ -84,6 +84,14 @@ def entity_tokens(spark, sf_dir):
     )
 
 
+@query
+def entity_gazetteer(spark, sf_dir):
+    words = F.regexp_extract_all(F.lower("text"), F.lit(text.WORD), F.lit(0))
+    names = X.table(spark, sf_dir, "benchmark").select(F.explode(words).alias("word"))
+    tagged = with_gazetteer(X.articles(spark, sf_dir), names, "article_text")
+    return tagged.select("id", F.array_join("entities", " ").alias("entities"))
+
+
 @query
 def char_ngrams(spark, sf_dir):
     words = X.articles(spark, sf_dir).select(F.explode_outer(text.search_words(F.col("article_text"))).alias("word"))

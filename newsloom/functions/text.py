@@ -118,6 +118,18 @@ def entity_tokens(c: Column) -> Column:
     return F.filter(cleaned, lambda w: w != "")
 
 
+def lone_first_words(c: Column) -> Column:
+    """The capitalised first words :func:`entity_tokens` leaves out."""
+
+    def of_sentence(words: Column) -> Column:
+        first = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
+        second = F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+        return F.when(first.rlike(CAPITALISED) & ~second.rlike(CAPITALISED), clean_entity_word(first))
+
+    words = F.transform(F.transform(sentences(c), sentence_words), of_sentence)
+    return F.filter(words, lambda w: w.isNotNull() & (w != ""))
+
+
 def language(c: Column) -> Column:
     """Language whose function words are most frequent; ``und`` when none occurs.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import entity_tokens, first_words, tokens
+from newsloom.functions.text import entity_tokens, first_words, lone_first_words, tokens
 from newsloom.session import bounded_broadcast
 
 ENTITY_TEXT_WORDS = 300
@@ -25,6 +25,20 @@ def similarity_texts() -> dict[str, Column]:
     }
 
 
+def with_gazetteer(articles: DataFrame, gazetteer: DataFrame, text_col: str) -> DataFrame:
+    """Add ``entities``: entity words, and lone sentence starts that are known names (column ``word``)."""
+    lone = articles.select("id", F.explode_outer(lone_first_words(F.col(text_col))).alias("word"))
+    known = (
+        lone.where(F.col("word").isNotNull())
+        .join(bounded_broadcast(gazetteer.select("word").distinct()), "word", "left_semi")
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list("word")).alias("known"))
+    )
+    extra = F.coalesce("known", F.array().cast("array<string>"))
+    entities = F.concat(entity_tokens(F.col(text_col)), extra)
+    return articles.join(known, "id", "left").withColumn("entities", entities).drop("known")
+
+
 def idf_table(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """Smoothed inverse document frequency of every term of a corpus."""
     size = corpus.agg(F.count("*").alias("n")).scalar()

@@ -43,14 +43,26 @@ def search_words(text: str) -> str:
     )
 
 
-def entities(text: str) -> str:
-    """List of entity words."""
-    split = (
+def sentence_words(text: str) -> str:
+    return (
         f"list_transform(regexp_split_to_array({text}, '[.!?]+\\s+|\\n+'), "
         f"lambda s: list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> ''))"
     )
+
+
+def lone_first_words(text: str) -> str:
+    return (
+        f"list_filter(list_transform({sentence_words(text)}, lambda ws: CASE "
+        f"WHEN regexp_matches(coalesce(ws[1], ''), '{CAPITALISED}') "
+        f"AND NOT regexp_matches(coalesce(ws[2], ''), '{CAPITALISED}') "
+        f"THEN lower(regexp_replace(ws[1], '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) END), lambda w: w <> '')"
+    )
+
+
+def entities(text: str) -> str:
+    """List of entity words."""
     kept = (
-        f"list_transform({split}, lambda ws: list_filter(ws, lambda w, i: regexp_matches(w, '{CAPITALISED}') "
+        f"list_transform({sentence_words(text)}, lambda ws: list_filter(ws, lambda w, i: regexp_matches(w, '{CAPITALISED}') "
         f"AND (i > 1 OR regexp_matches(coalesce(ws[2], ''), '{CAPITALISED}'))))"
     )
     cleaned = f"list_transform(flatten({kept}), lambda w: lower(regexp_replace(w, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')))"
@@ -422,6 +434,13 @@ ORACLES: dict[str, str] = {
     "article_id": f"SELECT page_id, {article_id(normalize_url('url'))} AS article_id FROM pages",
     "tokens": f"SELECT id, array_to_string({tokens('article_text')}, ' ') AS tokens FROM articles",
     "entity_tokens": f"SELECT id, array_to_string({entities('article_text')}, ' ') AS entities FROM articles",
+    "entity_gazetteer": f"""
+        SELECT a.id AS id, trim(array_to_string({entities('a.article_text')}, ' ') || ' ' || coalesce(k.known, '')) AS entities
+        FROM articles a LEFT JOIN (
+            SELECT id, string_agg(word, ' ' ORDER BY word) AS known
+            FROM (SELECT id, unnest({lone_first_words('article_text')}) AS word FROM articles)
+            WHERE word IN (SELECT unnest(regexp_extract_all(lower(text), '{WORD}')) FROM benchmark)
+            GROUP BY id) k ON k.id = a.id""",
     "char_ngrams": f"""SELECT word, array_to_string({grams('word')}, ' ') AS grams
         FROM (SELECT DISTINCT unnest({search_words('article_text')}) AS word FROM articles)""",
     "lang_detect": f"""SELECT id, {language("article_title || '. ' || article_text")} AS language FROM articles""",
