@@ -15,3 +15,22 @@ WITH t AS (
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.body) AS text_sha256
 FROM t JOIN g USING (body)
 """
+
+ORACLES["op9_warc_round_trip"] = r"""
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body,
+           max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id
+    FROM pages
+), b AS (
+    SELECT page_id, last_id, strlen(body) AS payload_bytes,
+           ('0x' || sha1(body)) AS h, sha1(body) AS hex
+    FROM p
+)
+SELECT page_id, payload_bytes,
+       (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                                 (('0x' || substr(hex, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))) % 32 + 1, 1), '' ORDER BY i)
+        FROM range(32) r(i)) AS payload_digest,
+       CASE WHEN page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last_id THEN last_id END AS refers_to
+FROM b
+"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +26,15 @@ LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 CONTINUATION = bytes(range(128, 192))
 STATISTICS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_distinct_words", "n_upper", "n_marks", "n_letters",
+    "n_lines", "n_upper", "n_marks", "n_letters",
 )
 MARKS = b"!?"
+# shares only: none of them drifts with the length of a text
 FEATURES = {
-    "n_words": lambda: F.col("n_words").cast("double"),
     "mean_word": lambda: _ratio("word_chars", "n_words"),
     "symbols_per_word": lambda: _ratio("n_symbols", "n_words"),
     "dup_line_share": lambda: _ratio("n_dup_lines", "n_lines"),
     "repeat_share": lambda: _ratio("n_repeat_words", "n_words"),
-    "distinct_share": lambda: _ratio("n_distinct_words", "n_words"),
     "upper_share": lambda: _ratio("n_upper", "n_letters"),
     "marks_per_word": lambda: _ratio("n_marks", "n_words"),
     "letters_per_word": lambda: _ratio("n_letters", "n_words"),
@@ -73,7 +72,6 @@ def count_statistics(raw: bytes) -> tuple[int, ...]:
         len(lines) - len(set(lines)),
         repeated,
         len(lines),
-        len(set(words)),
         len(joined) - len(joined.translate(None, UPPER)),
         len(joined) - len(joined.translate(None, MARKS)),
         letters,
@@ -148,6 +146,9 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, thresholds: int, max_condit
                     best, gain = Condition(feature, above, float(cuts[at])), float(gains[at])
         if best is None:
             break
+        beyond = x[best.feature][inside & (x[best.feature] > best.threshold)]
+        if len(beyond):  # halfway to the next value
+            best = replace(best, threshold=(best.threshold + float(beyond.min())) / 2)
         rule = (*rule, best)
         inside &= best.holds(x[best.feature])
     return rule

@@ -23,4 +23,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, rules, keep=["doc_id"]).select(*columns)
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op10_quality_rules)}
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.sharding import shard_documents
+
+    dealt = shard_documents(table(spark, sf_dir, "documents"), shards=40)
+    return dealt.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
+    )
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.url_rules import judge_urls, mine_rules
+
+    pages = table(spark, sf_dir, "pages")
+    mined = mine_rules(pages, table(spark, sf_dir, "labels"))
+    return judge_urls(pages, mined).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_rules, op7_exact_dedup, op9_warc_round_trip, op10_quality_rules)}
