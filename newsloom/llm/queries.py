@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import table
 
 
+def _vocabulary() -> bytes:
+    import public_tokenizers
+
+    from newsloom.llm.tokenize import vocabulary_file
+
+    return vocabulary_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.tokenize import build_lexicon, decode, encode
+
+    docs, vocabulary = table(spark, sf_dir, "documents"), _vocabulary()
+    lexicon = build_lexicon(docs, vocabulary)
+    texts = decode(encode(docs, vocabulary, lexicon, keep=["doc_id"]), vocabulary)
+    return texts.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.exact_dedup import exact_duplicates
 
@@ -40,10 +62,17 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, mined).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.packing import pack_documents
+
+    packed = pack_documents(table(spark, sf_dir, "documents"), _vocabulary(), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.warc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_rules, op7_exact_dedup, op9_warc_round_trip, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_rules, op6_bpe, op7_exact_dedup, op8_packing, op9_warc_round_trip, op10_quality_rules)}
