@@ -54,6 +54,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.url_rules import judge_urls, mine_rules
 
@@ -75,4 +81,4 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_rules, op6_bpe, op7_exact_dedup, op8_packing, op9_warc_round_trip, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_url_rules, op6_bpe, op7_exact_dedup, op8_packing, op9_warc_round_trip, op10_quality_rules)}
