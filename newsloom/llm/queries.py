@@ -16,6 +16,16 @@ def _vocabulary() -> bytes:
     return vocabulary_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.pii import KINDS, count_of, personal_data, span_list
+
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    counts = [count_of("base", k).alias(f"n_{k}") for k in KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans")
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.tokenize import build_lexicon, decode, encode
 
@@ -81,4 +91,4 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_url_rules, op6_bpe, op7_exact_dedup, op8_packing, op9_warc_round_trip, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_url_rules, op5_pii, op6_bpe, op7_exact_dedup, op8_packing, op9_warc_round_trip, op10_quality_rules)}
