@@ -18,11 +18,14 @@ import re
 import sys
 import tempfile
 from array import array
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import regex
+import tiktoken
 
 # fixed value: the pattern by which byte-level BPE cuts text before its merges
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -33,7 +36,9 @@ NOT_PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ɏ‐-‧]")
 # where a cut at single blanks would not be independent
 CROWDED = re.compile(r" \s|\s ")
 assert array("I").itemsize == 4 and sys.byteorder == "little"
-REMEMBERED = 500_000
+REMEMBERED = 800_000
+LONG_BLANK = re.compile(r"\s{500}")
+_NONE = 1 << 30
 
 
 @lru_cache(maxsize=1)
@@ -58,6 +63,13 @@ class Vocabulary:
         for rank, merge in enumerate(data["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.pairs[ids[a], ids[b]] = (rank, ids[a + b])
+        order = sorted(self.pairs)
+        self.pair_keys = np.array([(a << 32) | b for a, b in order], np.int64)
+        self.pair_ranks = np.array([self.pairs[pair][0] for pair in order], np.int32)
+        self.rank_result = np.empty(len(order), np.int32)
+        for rank, merged in self.pairs.values():
+            self.rank_result[rank] = merged
+        self.byte_ids = np.array(self.byte_id, np.int32)
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
@@ -113,9 +125,65 @@ class Vocabulary:
             offer(a)
         return [i for i in ids if i >= 0]
 
+    def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of every pair of ids, _NONE where the pair does not merge or an id is missing (-1)."""
+        keys = (a.astype(np.int64) << 32) | b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == keys) & (b >= 0), self.pair_ranks[at], np.int32(_NONE))
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of many pre-tokens; words of one length are merged together, a pair per word and round."""
+        out: list[bytes] = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(i)
+        for length, members in by_length.items():
+            if length > 48 or len(members) < 4:
+                for i in members:
+                    out[i] = array("I", self.merge(words[i])).tobytes()
+                continue
+            raw = np.frombuffer(b"".join(words[i] for i in members), np.uint8).reshape(-1, length)
+            ids = self.byte_ids[raw]
+            left = np.full(len(members), length)
+            ranks = np.full((len(members), length), _NONE, np.int32)
+            if length > 1:
+                ranks[:, :-1] = self._pair_ranks(ids[:, :-1], ids[:, 1:])
+            rows, now, part = np.arange(len(members)), ids, ranks
+            columns = np.arange(length)
+            while True:
+                at = part.argmin(1)
+                best = part[np.arange(len(rows)), at]
+                open_ = best < _NONE
+                if not open_.all():
+                    ids[rows] = now
+                    rows, at, best, now, part = rows[open_], at[open_], best[open_], now[open_], part[open_]
+                if not len(rows):
+                    break
+                line = np.arange(len(rows))
+                now[line, at] = self.rank_result[best]
+                # what stands behind the merged pair moves one place to the left
+                where = columns + (columns > at[:, None])
+                where[:, -1] = length - 1
+                flat = where + (line * length)[:, None]
+                now, kept = now.ravel()[flat], part.ravel()[flat]
+                now[:, -1] = -1
+                kept[:, -1] = _NONE
+                after, before = np.minimum(at + 1, length - 1), np.maximum(at - 1, 0)
+                behind = self._pair_ranks(now[line, at], now[line, after])
+                ahead = self._pair_ranks(now[line, before], now[line, at])
+                kept[line, before] = np.where(at > 0, ahead, behind)
+                kept[line, at] = np.where(at + 1 < length, behind, _NONE)
+                part = kept
+                left[rows] -= 1
+            packed = ids.astype("<u4")
+            for line, i in enumerate(members):
+                out[i] = packed[line, : left[line]].tobytes()
+        return out
+
 
 def pretokens(text: str) -> list[str]:
-    return (PATTERN if NOT_PLAIN.search(text) else PLAIN_PATTERN).findall(text)
+    plain = text.isascii() and text.isprintable() or not NOT_PLAIN.search(text)
+    return (PLAIN_PATTERN if plain else PATTERN).findall(text)
 
 
 _LOADED: dict[bytes, Vocabulary] = {}
@@ -140,14 +208,13 @@ class Transducer:
     HEADER = 8
 
     def __init__(self, buffer):
-        words = np.frombuffer(buffer, "<u4")
-        sizes = words[: self.HEADER]
+        words = memoryview(buffer).cast("I")
         parts, at = [], self.HEADER
-        for n in sizes[:7]:
-            parts.append(words[at : at + int(n)])
-            at += int(n)
+        for n in words[:7]:
+            parts.append(words[at : at + n])
+            at += n
         self.first, self.label, self.target, self.before, self.final, self.offsets, self.ids = parts
-        self.root = int(sizes[7])
+        self.root = words[7]
 
     @classmethod
     def compile(cls, words: Iterable[tuple[bytes, list[int]]]) -> bytes:
@@ -197,20 +264,20 @@ class Transducer:
         out = [np.array([*map(len, tables), root], "<u4"), *(np.array(t, "<u4") for t in tables)]
         return b"".join(t.tobytes() for t in out)
 
-    def find(self, word: bytes) -> list[int] | None:
-        """Ids of ``word``; None for a word that was not compiled."""
+    def find(self, word: bytes) -> bytes | None:
+        """Packed ids of ``word``; None for a word that was not compiled."""
         state, number = self.root, 0
-        first, label = self.first, self.label
+        first, label, before, target = self.first, self.label, self.before, self.target
         for byte in word:
-            start, end = int(first[state]), int(first[state + 1])
-            at = start + int(np.searchsorted(label[start:end], byte))
+            end = first[state + 1]
+            at = bisect_left(label, byte, first[state], end)
             if at == end or label[at] != byte:
                 return None
-            number += int(self.before[at])
-            state = int(self.target[at])
+            number += before[at]
+            state = target[at]
         if not self.final[state]:
             return None
-        return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist()
+        return self.ids[self.offsets[number] : self.offsets[number + 1]].tobytes()
 
     @property
     def n_states(self) -> int:
@@ -228,91 +295,170 @@ def mapped(tables: bytes) -> mmap.mmap:
 class Encoder:
     """Texts to packed ids (little-endian unsigned 32-bit), exactly as the vocabulary's own tokenizer.
 
-    ``word_ids`` gives the ids of one pre-token.  Pieces and words are remembered up to a fixed number.
+    ``find`` gives the packed ids of a pre-token of the lexicon, or None.  Pieces and words are remembered
+    up to a fixed number.
     """
 
-    def __init__(self, vocabulary: Vocabulary, word_ids: Callable[[bytes], list[int]], remembered: int = REMEMBERED):
-        self.vocabulary, self.word_ids, self.remembered = vocabulary, word_ids, remembered
+    def __init__(self, vocabulary: Vocabulary, find: Callable[[bytes], bytes | None] | None = None, remembered: int = REMEMBERED):
+        self.vocabulary, self.find, self.remembered = vocabulary, find, remembered
         self.memory: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
-        self.special = {c: np.array([i], "<u4").tobytes() for c, i in vocabulary.special.items()}
-
-    def _ids_of(self, piece: str) -> bytes:
-        ids: list[int] = []
-        words = self.words
-        for word in pretokens(piece):
-            found = words.get(word)
-            if found is None:
-                if len(words) >= self.remembered:
-                    words.clear()
-                found = words[word] = self.word_ids(word.encode())
-            ids += found
-        return array("I", ids).tobytes()
-
-    def _remember(self, pieces: list[str]) -> None:
-        memory = self.memory
-        new = set(pieces).difference(memory)
-        if len(memory) + len(new) > self.remembered:
-            memory.clear()
-            new = set(pieces)
-        for piece in new:
-            memory[piece] = self._ids_of(piece)
+        self.spaced: dict[str, bytes] = {}  # pieces without the blank before them
+        self.special = {c: array("I", [i]).tobytes() for c, i in vocabulary.special.items()}
 
-    def _plain(self, text: str) -> bytes:
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Remembers the packed ids of pieces and their words: lexicon first, all other words merged together."""
+        memory = self.memory
+        composed = {}
+        unknown = set()
+        for piece in pieces:
+            if piece.startswith(" ") and piece[1:].isalpha():
+                unknown.add(piece)  # one word
+            else:
+                composed[piece] = pretokens(piece)
+                unknown.update(composed[piece])
+        unseen = list(unknown.difference(memory))
+        if self.find:
+            known, unseen = unseen, []
+            for word in known:
+                if (found := self.find(word.encode())) is None:
+                    unseen.append(word)
+                else:
+                    memory[word] = found
+        memory.update(zip(unseen, self.vocabulary.merge_many([w.encode() for w in unseen]), strict=True))
+        for piece, parts in composed.items():
+            memory[piece] = b"".join([memory[word] for word in parts])
+
+    def _pieces(self, text: str) -> list[str] | tuple[str, list[str]]:
+        """Pieces of a text; as head and rest if all of the rest follow a single blank that is left out."""
         if not text:
-            return b""
+            return []
+        if NOT_PLAIN.search(text):
+            return pretokens(text)
         if CROWDED.search(text):
-            pieces = re.findall(r"\s*\S+|\s+", text) if not NOT_PLAIN.search(text) else [text]
-            if len(pieces) == 1:
-                return self._ids_of(text)
-        else:
-            head, *rest = text.split(" ")
-            pieces = [head, *[" " + piece for piece in rest]]
-        memory = self.memory
-        try:
-            return b"".join(map(memory.__getitem__, pieces))
-        except KeyError:
-            out = []
-            for at in range(0, len(pieces), self.remembered // 2):
-                part = pieces[at : at + self.remembered // 2]
-                self._remember(part)
-                out += map(memory.__getitem__, part)
-            return b"".join(out)
+            return re.findall(r"\s*\S+|\s+", text)
+        rest = text.split(" ")
+        return rest.pop(0), rest
 
-    def encode(self, text: str) -> bytes:
+    def _parts(self, text: str) -> Iterator[str | bytes]:
+        """Plain parts of a text as strings, special tokens as packed ids."""
         pattern = self.vocabulary.special_pattern
-        if pattern is None or not pattern.search(text):
-            return self._plain(text)
-        out, at = [], 0
-        for match in pattern.finditer(text):
-            out += [self._plain(text[at : match.start()]), self.special[match.group()]]
+        at = 0
+        for match in pattern.finditer(text) if pattern else ():
+            yield text[at : match.start()]
+            yield self.special[match.group()]
             at = match.end()
-        return b"".join([*out, self._plain(text[at:])])
+        yield text[at:]
+
+    def encode_many(self, texts: Iterable[str]) -> list[bytes]:
+        cut = [[p if isinstance(p, bytes) else self._pieces(p) for p in self._parts(text)] for text in texts]
+        whole: set[str] = set()
+        after_blank: set[str] = set()
+        for parts in cut:
+            for part in parts:
+                if isinstance(part, tuple):
+                    whole.add(part[0])
+                    after_blank.update(part[1])
+                elif isinstance(part, list):
+                    whole.update(part)
+        memory, spaced = self.memory, self.spaced
+        new = after_blank.difference(spaced)
+        if len(memory) + len(spaced) + len(whole) + 2 * len(new) > self.remembered:
+            memory.clear()
+            spaced.clear()
+            new = after_blank
+        named = [" " + piece for piece in new]
+        self._learn([*whole.difference(memory), *named])
+        # with their blank, pieces that are no words are not asked for again
+        for piece, name in zip(new, named, strict=True):
+            spaced[piece] = memory.pop(name) if piece.isalpha() else memory[name]
+        at, after = memory.__getitem__, spaced.__getitem__
+
+        def packed(part) -> bytes:
+            if isinstance(part, tuple):
+                return at(part[0]) + b"".join(map(after, part[1]))
+            return part if isinstance(part, bytes) else b"".join(map(at, part))
+
+        return [b"".join(map(packed, parts)) for parts in cut]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
+
+
+_ENCODERS: dict[tuple[int, int], Encoder] = {}
+_LIBRARY: dict[int, Callable[[str], bytes] | None] = {}
+
+
+def library_of(vocabulary: Vocabulary) -> Callable[[str], bytes] | None:
+    if id(vocabulary) not in _LIBRARY:
+        _LIBRARY.clear()
+        _LIBRARY[id(vocabulary)] = library_encoder(vocabulary)
+    return _LIBRARY[id(vocabulary)]
+
+
+def encoder_of(vocabulary: Vocabulary, lexicon: bytes | None) -> Encoder:
+    """The encoder of a worker, kept with its memory for the next tasks."""
+    key = (id(vocabulary), hash(lexicon))
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        find = None if lexicon is None else Transducer(mapped(lexicon)).find
+        _ENCODERS[key] = Encoder(vocabulary, find)
+    return _ENCODERS[key]
 
 
 class Decoder:
     """Ids back to text; bytes that are not UTF-8 become the replacement character."""
 
     def __init__(self, vocabulary: Vocabulary):
-        size = max(vocabulary.bytes_of) + 1
-        self.bytes_of = [vocabulary.bytes_of.get(i, b"") for i in range(size)]
+        parts = [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of) + 1)]
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(parts), np.uint8)
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        lengths = self.lengths[ids]
+        before = np.cumsum(lengths) - lengths
+        where = np.repeat(self.starts[ids] - before, lengths) + np.arange(int(lengths.sum()))
+        return self.blob[where].tobytes()
 
     def decode(self, packed: bytes) -> str:
-        ids = np.frombuffer(packed, "<u4").tolist()
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        ids = np.frombuffer(packed, "<u4")
+        parts = [self._bytes(ids[at : at + (1 << 18)]) for at in range(0, len(ids), 1 << 18)]
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 def words_of(texts: Iterable[str], vocabulary: Vocabulary) -> Iterator[tuple[str, int]]:
     """(pre-token, count) over all texts, with equal pieces cut only once."""
-    counts: dict[str, int] = {}
+    whole: Counter[str] = Counter()
+    after_blank: Counter[str] = Counter()
     for text in texts:
         for part in vocabulary.special_pattern.split(text) if vocabulary.special_pattern else [text]:
-            pieces = [part] if CROWDED.search(part) else part.split(" ")
-            for i, piece in enumerate(pieces):
-                key = " " + piece if i else piece
-                counts[key] = counts.get(key, 0) + 1
+            if CROWDED.search(part):
+                whole[part] += 1
+            else:
+                rest = part.split(" ")
+                whole[rest.pop(0)] += 1
+                after_blank.update(rest)
     words: dict[str, int] = {}
-    for piece, n in counts.items():
-        for word in pretokens(piece):
-            words[word] = words.get(word, 0) + n
+    for blank, counts in ("", whole), (" ", after_blank):
+        for piece, n in counts.items():
+            for word in (blank + piece,) if blank and piece.isalpha() else pretokens(blank + piece):
+                words[word] = words.get(word, 0) + n
     yield from words.items()
+
+
+def library_encoder(vocabulary: Vocabulary) -> Callable[[str], bytes] | None:
+    """Packed ids by the installed tokenizer library, where the rank of a merge is the id of its result."""
+    ids = [merged for _, (_, merged) in sorted(vocabulary.pairs.items(), key=lambda item: item[1][0])]
+    if ids != sorted(ids) or (ids and min(ids) < 256) or sorted(vocabulary.byte_id) != list(range(256)):
+        return None
+    ranks = {raw: i for i, raw in vocabulary.bytes_of.items() if i not in set(vocabulary.special.values())}
+    own = tiktoken.Encoding("own", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens=vocabulary.special)
+    plain = Encoder(vocabulary)
+
+    def encode(text: str) -> bytes:
+        # the library's pattern engine does not finish on very long runs of blanks
+        if LONG_BLANK.search(text):
+            return plain.encode(text)
+        return own.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+
+    return encode

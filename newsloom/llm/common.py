@@ -69,3 +69,29 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def kth_largest(scored: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:
+    """The k-th largest value: counts per bin narrow it down, and at most ``bins`` values are looked at."""
+    low, high, n = scored.agg(F.min(column), F.max(column), F.count(column)).first()
+    if k <= 0 or not n:
+        return None
+    if k >= n:
+        return low
+    now, above = scored.select(column), 0
+    while low < high:
+        width = (high - low) / bins
+        if not low + width > low:
+            break
+        number = F.least(F.floor((F.col(column) - low) / width).cast("int"), F.lit(bins - 1))
+        binned = now.withColumn("_bin", number)
+        for row in sorted(binned.groupBy("_bin").agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect(), key=lambda r: -r._bin):
+            if above + row.n >= k:
+                break
+            above += row.n
+        if row.n <= bins:
+            values = [r[0] for r in now.where(F.col(column).between(row.lo, row.hi)).collect()]
+            return sorted(values, reverse=True)[k - above - 1]
+        low, high = row.lo, row.hi
+        now = now.where(F.col(column).between(low, high))
+    return low

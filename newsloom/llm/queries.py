@@ -16,6 +16,12 @@ def _vocabulary() -> bytes:
     return vocabulary_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.importance import importance_sample
+
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.pii import KINDS, count_of, personal_data, span_list
 
@@ -91,4 +97,25 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_url_rules, op5_pii, op6_bpe, op7_exact_dedup, op8_packing, op9_warc_round_trip, op10_quality_rules)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_jaccard_join,
+        op3_url_rules,
+        op4_importance_resampling,
+        op5_pii,
+        op6_bpe,
+        op7_exact_dedup,
+        op8_packing,
+        op9_warc_round_trip,
+        op10_quality_rules,
+        pipeline,
+    )
+}

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.bpe import Decoder, Encoder, Transducer, mapped, vocabulary_of, words_of
-from newsloom.llm.common import pieces, ready, strings
+from newsloom.llm.bpe import Decoder, Transducer, encoder_of, library_of, vocabulary_of, words_of
+from newsloom.llm.common import kept_table, kth_largest, pieces, ready, strings
 
 LEXICON_WORDS = 20_000
 WORD_BYTES = 64
@@ -55,26 +55,26 @@ def word_counts(docs: DataFrame, vocabulary: bytes, text_col: str = "text", word
 
 
 def build_lexicon(docs: DataFrame, vocabulary: bytes, words: int = LEXICON_WORDS, text_col: str = "text") -> bytes:
-    """Transducer tables of the ``words`` most frequent words of the whole corpus (ties: smaller word).
+    """Transducer tables of the at most ``words`` most frequent words of the whole corpus.
 
-    The size of the result is bounded by ``words`` and WORD_BYTES.
+    Words that tie with the first one beyond the bound are left out.  The size of the result is bounded by
+    ``words`` and WORD_BYTES, whatever the corpus is.
     """
-    counts = word_counts(docs, vocabulary, text_col)
-    rows = counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    counts = kept_table(word_counts(docs, vocabulary, text_col), "words")
+    if counts.count() > words:
+        counts = counts.where(F.col("n") > kth_largest(counts, "n", words + 1))
     merge = vocabulary_of(vocabulary).merge
-    return Transducer.compile(sorted((raw, merge(raw)) for raw in (r.word.encode() for r in rows)))
+    return Transducer.compile(sorted((raw, merge(raw)) for raw in (r.word.encode() for r in counts.select("word").collect())))
 
 
 def _encode_kernel(file, tables, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(file.value)
-        if tables is None:
-            encoder = Encoder(vocabulary, vocabulary.merge)
-        else:
-            find = Transducer(mapped(tables.value)).find
-            encoder = Encoder(vocabulary, lambda word: ids if (ids := find(word)) is not None else vocabulary.merge(word))
-        for batch in pieces(batches, 256):
-            packed = [encoder.encode(text) for text in strings(batch.column(text_at))]
+        library = library_of(vocabulary) if tables is None else None
+        encoder = None if library else encoder_of(vocabulary, None if tables is None else tables.value)
+        for batch in pieces(batches, 512):
+            texts = strings(batch.column(text_at))
+            packed = list(map(library, texts)) if library else encoder.encode_many(texts)
             kept = [c for i, c in enumerate(batch.columns) if i != text_at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary())], names)
 
@@ -84,6 +84,8 @@ def _encode_kernel(file, tables, text_at: int, names: list[str]):
 def encode(docs: DataFrame, vocabulary: bytes, lexicon: bytes | None = None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` (all but the text by default) and ``ids``: packed little-endian 32-bit ids.
 
+    With a ``lexicon`` by its transducer, and exact merges for other words; without one by the installed
+    tokenizer library, if the vocabulary is of the kind that it knows.
     Equal to the vocabulary's own tokenizer without added special tokens; a special token's own string in
     a text becomes its id.  A null text is empty and has no ids.  A column named ``ids`` is replaced.
     """
