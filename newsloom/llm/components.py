@@ -28,8 +28,8 @@ def connected(edges: DataFrame, label: str, max_rounds: int = 100) -> DataFrame:
     Rounds of large and small stars until nothing changes; each round is written to the shared folder, so
     a lost executor repeats one round at most.  Self-loops are allowed; an empty table gives an empty one.
     """
+    edges = kept_table(edges, f"{label}-edges")  # read several times
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    nodes = kept_table(nodes, f"{label}-nodes")
     now = kept_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     mark = _fingerprint(now)
     for _ in range(max_rounds):
