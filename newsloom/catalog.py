@@ -214,12 +214,16 @@ def time_range_scan(spark, sf_dir):
 def writeback(spark, sf_dir):
     articles = X.scored_articles(spark, sf_dir)
     value = F.col("event_value")
+    path = scratch_path(spark, "store")
+    store.append_articles(articles, path)
     updates = articles.where(value > 50).select(
+        F.to_date("publish_date").alias("day"),
         "id",
         (value / (value + 50)).alias("centrality_score_15"),
         F.array(F.lit("centroid_k50")).alias("article_centroid_tags"),
     )
-    return store.apply_updates(articles, updates).select(
+    store.write_back(spark, path, updates)
+    return store.read_articles(spark, path).select(
         "id",
         r6("centrality_score_15").alias("centrality_score_15"),
         F.array_join("article_centroid_tags", ",").alias("tags"),

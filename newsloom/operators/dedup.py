@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.session import bounded_broadcast, materialise
+
 
 def first_wins(batch: DataFrame, order_by: list[str | Column]) -> DataFrame:
     """First article of every address.
@@ -18,8 +20,13 @@ def first_wins(batch: DataFrame, order_by: list[str | Column]) -> DataFrame:
 
 
 def dedup_new(batch: DataFrame, store: DataFrame, order_by: list[str | Column]) -> DataFrame:
-    """Articles of the batch that the store does not have yet, first copy only."""
-    return first_wins(batch, order_by).join(store.select("normalized_url"), "normalized_url", "left_anti")
+    """Articles of the batch that the store does not have yet, first copy only.
+
+    The store streams past the addresses of the batch; only the addresses found there are compared.
+    """
+    asked = materialise(batch.select("normalized_url").distinct(), "asked-urls")
+    known = store.select("normalized_url").join(bounded_broadcast(asked), "normalized_url", "left_semi").distinct()
+    return first_wins(batch, order_by).join(known, "normalized_url", "left_anti")
 
 
 def distinct_ids(batch: DataFrame, store: DataFrame) -> DataFrame:
@@ -28,7 +35,8 @@ def distinct_ids(batch: DataFrame, store: DataFrame) -> DataFrame:
     An id already in the store keeps its owner; inside the batch the smallest address wins.
     """
     owners = store.select("id", F.col("normalized_url").alias("owner"), F.lit(0).alias("age"))
-    owners = owners.join(batch.select("id"), "id", "left_semi")
+    asked = materialise(batch.select("id").distinct(), "asked-ids")
+    owners = owners.join(bounded_broadcast(asked), "id", "left_semi")
     fresh = batch.select("id", F.col("normalized_url").alias("owner"), F.lit(1).alias("age"))
     first = owners.unionByName(fresh).groupBy("id").agg(F.min(F.struct("age", "owner")).alias("first"))
     suffix = F.concat(F.lit("_"), F.substring(F.md5("normalized_url"), 1, 8))

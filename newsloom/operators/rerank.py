@@ -57,7 +57,14 @@ def timeline(hits: DataFrame, n: int = 100) -> DataFrame:
 
 
 def search_summary(hits: DataFrame, queries: DataFrame, as_of, recent_days: int = 7) -> DataFrame:
-    """Counters per query, and whether to advise a less strict search."""
+    """Counters per query, and whether to advise a less strict search.
+
+    Queries of search type ``timeline`` show and count dated hits only.
+    """
+    if "search_type" in queries.columns:
+        kinds = queries.select("qid", "search_type").distinct()
+        dated = F.col("publish_date").isNotNull() | ~F.col("search_type").eqNullSafe("timeline")
+        hits = hits.drop("search_type").join(kinds, "qid").where(dated).drop("search_type")
     marked = mark_recent(hits, as_of, recent_days)
     counts = marked.groupBy("qid").agg(
         F.count("*").alias("n_hits"),

@@ -135,10 +135,16 @@ def text_scores(articles: DataFrame, queries: DataFrame, ngrams: bool = True) ->
 
 
 def in_date_range(ts: Column, min_date: Column, max_date: Column) -> Column:
-    """Inclusive day range; an empty or missing end is open."""
-    low = F.to_timestamp(F.concat(F.nullif(min_date, F.lit("")), F.lit(" 00:00:00")))
-    high = F.to_timestamp(F.concat(F.nullif(max_date, F.lit("")), F.lit(" 23:59:59")))
-    return F.coalesce(ts >= low, low.isNull()) & F.coalesce(ts <= high, high.isNull())
+    """Inclusive day range; an empty or missing end is open.
+
+    An end that is no date fails its own query only: nothing is in its range.
+    """
+    low_text, high_text = F.nullif(min_date, F.lit("")), F.nullif(max_date, F.lit(""))
+    low = F.try_to_timestamp(F.concat(low_text, F.lit(" 00:00:00")))
+    high = F.try_to_timestamp(F.concat(high_text, F.lit(" 23:59:59")))
+    above = F.when(low_text.isNull(), F.lit(True)).otherwise(F.coalesce(ts >= low, F.lit(False)))
+    below = F.when(high_text.isNull(), F.lit(True)).otherwise(F.coalesce(ts <= high, F.lit(False)))
+    return above & below
 
 
 def recency_factor(ts: Column, target: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import first_words
 from newsloom.functions.urls import article_id, normalize_url, url_domain, with_scheme
 from newsloom.operators.dedup import dedup_new, distinct_ids
+from newsloom.sources.links import tag_source
 
 BEGINNING_WORDS = 100
 
@@ -35,13 +36,21 @@ def build_articles(parsed: DataFrame, as_of) -> DataFrame:
 
 
 def ingest(
-    parsed: DataFrame, store: DataFrame, languages: list[str], as_of, order_by: list[str] | None = None
+    parsed: DataFrame,
+    store: DataFrame,
+    languages: list[str],
+    as_of,
+    order_by: list[str] | None = None,
+    sources: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Accepted articles and rejected rows (no address, no title or wrong language).
 
-    Duplicates are neither: they are known articles.
+    Duplicates are neither: they are known articles.  ``sources`` (source_name, normalized_domain) names
+    the source of every article whose site is in it.
     """
     articles = build_articles(parsed, as_of)
+    if sources is not None:
+        articles = tag_source(articles, sources)
     usable = F.col("normalized_url").isNotNull() & F.col("article_title").isNotNull() & F.col("article_text").isNotNull()
     allowed = F.coalesce(usable & F.col("language_code").isin(languages), F.lit(False))
     reason = F.when(usable, F.lit("language")).otherwise(F.lit("incomplete"))

@@ -15,14 +15,16 @@ BROADCAST_ROWS = 500_000
 
 
 def build_session(app: str = "newsloom", cores: str | int = "*", **conf) -> SparkSession:
+    builder = SparkSession.builder
+    # a submitted program has its master and partitions from spark-submit
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:
+        builder = builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", "8")
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():

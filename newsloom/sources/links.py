@@ -119,21 +119,44 @@ def tag_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
     return articles.drop("source_name").join(bounded_broadcast(sources), "normalized_domain", "left")
 
 
+# a link element with its address in double quotes, single quotes or none
+ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """Distinct links of each page that stay on its own site: ``url, link``."""
-    hrefs = F.explode_outer(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))))
+    """Distinct links of each page that stay on its own site: ``url, link``.
+
+    Addresses relative to the page, its folder or its site are resolved; other schemes and links to a
+    place in the same page are left out.
+    """
+    hrefs = F.explode_outer(F.array_distinct(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))))
     root = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    page = F.regexp_extract("url", "^([^?#]*)", 1)
+    folder = F.when(page == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_extract(page, "(?s)^(.*/)", 1))
+    bare = F.trim(F.regexp_replace("href", "^[\"']|[\"']$", ""))
+    address = F.replace(bare, F.lit("&amp;"), F.lit("&"))
 
     def resolve(href: Column) -> Column:
         return (
-            F.when(href.rlike("^https?://"), href)
-            .when(href.startswith("//"), F.concat(F.lit("https:"), href))
+            F.when(href.rlike("^(?i)https?://"), href)
+            .when(href.startswith("//"), F.concat(F.regexp_extract("url", "^(https?:)", 1), href))
+            .when(href.rlike("^(#|$)") | href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
             .when(href.startswith("/"), F.concat("root", href))
+            .when(href.startswith("?"), F.concat("page", href))
+            .otherwise(F.concat("folder", href))
         )
 
+    def plain(link: Column) -> Column:
+        """Without ``./`` and ``name/../`` steps, up to eight of them."""
+        link = F.regexp_replace(link, r"/(?:\./)+", "/")
+        for _ in range(8):
+            link = F.regexp_replace(link, r"^(https?://[^/?#]+(?:/[^?#]*?)?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
+        return F.regexp_replace(link, r"^(https?://[^/?#]+)/(?:\.\./)+", "$1/")
+
     return (
-        pages.select("url", root.alias("root"), hrefs.alias("href"))
-        .select("url", resolve(F.col("href")).alias("link"))
+        pages.select("url", root.alias("root"), page.alias("page"), folder.alias("folder"), hrefs.alias("href"))
+        .select("url", "root", "page", "folder", address.alias("href"))
+        .select("url", plain(resolve(F.col("href"))).alias("link"))
         .where(url_domain(F.col("link")) == url_domain(F.col("url")))
         .distinct()
     )

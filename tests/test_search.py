@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from newsloom import fixtures as X
 from newsloom.operators import rerank
 from newsloom.operators.fuzzy import jaro_winkler, match_vocabulary
+from newsloom.operators.retrieval import in_date_range
 from newsloom.plans import search as S
 from newsloom.plans.home import home_feed
 
@@ -87,3 +88,18 @@ def test_home_feed_pages(spark, sf_dir):
     whole = [r["id"] for r in home_feed(articles, "2024-01-04 00:00:00", limit=20).collect()]
     second = [r["id"] for r in home_feed(articles, "2024-01-04 00:00:00", limit=10, start=10).collect()]
     assert whole[10:] == second
+
+
+def test_a_bad_date_fails_its_own_query_only(spark):
+    rows = [("2024-01-01", ""), ("no date", ""), ("", "2024-13-77"), (None, None), ("2024-01-03", "2024-01-02")]
+    dates = spark.createDataFrame(rows, "low string, high string").withColumn("ts", F.lit("2024-01-02 12:00:00").cast("timestamp"))
+    got = [r["x"] for r in dates.select(in_date_range(F.col("ts"), F.col("low"), F.col("high")).alias("x")).collect()]
+    assert got == [True, False, False, True, False]
+
+
+def test_undated_hits_are_not_counted_in_a_timeline(spark):
+    hits = ranked_hits(spark, 2, 1).unionByName(ranked_hits(spark, 1, 0).withColumns({"id": F.lit("x"), "publish_date": F.lit(None).cast("timestamp")}))
+    for kind, n in (("timeline", 3), ("relevance", 4)):
+        queries = spark.createDataFrame([("q", "strict", kind)], "qid string, strictness string, search_type string")
+        row = rerank.search_summary(hits, queries, AS_OF).first()
+        assert (row["n_hits"], row["n_recent"]) == (n, 2)
