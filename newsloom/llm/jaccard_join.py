@@ -146,40 +146,42 @@ class Segments:
         return np.concatenate(out)
 
 
-def _set_kernel(n: int, num: int, den: int):
-    """Per document: id, set size, two halves of the set's fingerprint, its keys, smaller documents met.
+def _set_kernel(n: int):
+    """Per document: id, set size and two halves of the set's fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2048):
+            rows = []
+            for raw in encoded(batch.column(1)):
+                grams = gram_set(raw, n)
+                rows.append((len(grams), *fingerprint(grams)))
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "h1", "h2"])
+
+    return run
+
+
+def _key_kernel(n: int, num: int, den: int):
+    """Per document: id, its keys, smaller documents met.
 
     Of the documents of a slice that share a key only the smallest announces it; the others are tied to it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = Segments(num, den)
-        names = ["doc_id", "n_shingles", "h1", "h2", "keys", "met"]
         for batch in pieces(batches, 2048):
-            ids = batch.column(0)
-            known = np.asarray(ids.is_valid())
-            sizes, h1, h2, keys = [], [], [], []
-            for raw, valid in zip(encoded(batch.column(1)), known, strict=True):
-                grams = gram_set(raw, n)
-                sizes.append(len(grams))
-                first, second = fingerprint(grams)
-                h1.append(first)
-                h2.append(second)
-                keys.append(segments.keys(grams).view(np.int64) if len(grams) and valid else np.empty(0, np.int64))
-            doc = ids.fill_null(0).to_numpy()
+            doc = batch.column(0).to_numpy()
+            sets = [gram_set(raw, n) for raw in encoded(batch.column(1))]
+            keys = [segments.keys(s).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
             owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            key = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            key = np.concatenate(keys)
             order = np.lexsort((doc[owner], key))
             key, owner = key[order], owner[order]
             new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
             head = owner[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(key) else owner
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids, pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                    _lists(owner[new], key[new], len(keys)), _ties(owner[~new], doc[head[~new]], doc, len(keys)),
-                ],
-                names,
-            )
+            announced = _lists(owner[new], key[new], len(keys))
+            ties = _ties(owner[~new], doc[head[~new]], doc, len(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), announced, ties], ["doc_id", "keys", "met"])
 
     return run
 
@@ -196,11 +198,13 @@ def _ties(owner: np.ndarray, other: np.ndarray, doc: np.ndarray, n: int) -> pa.A
     return _lists(pairs[:, 0], pairs[:, 1], n)
 
 
-def gram_sets(docs: DataFrame, n: int, num: int, den: int, id_col="doc_id", text_col="text") -> DataFrame:
-    source = ready(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(
-        _set_kernel(n, num, den), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, met array<long>"
-    )
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return ready(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def gram_sets(docs: DataFrame, n: int, id_col="doc_id", text_col="text") -> DataFrame:
+    """(doc_id, n_shingles, h1, h2): size and fingerprint of every set."""
+    return _named(docs, id_col, text_col).mapInArrow(_set_kernel(n), "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 class Trie:
@@ -369,13 +373,21 @@ def _trie_kernel(n: int, num: int, den: int):
     return run
 
 
-def candidate_edges(sets: DataFrame) -> DataFrame:
-    """(a, b): every document tied to the smallest one that announced one of its keys."""
-    inside = sets.select(F.col("doc_id").alias("a"), F.explode("met").alias("b"))
-    keys = sets.select(F.explode("keys").alias("key"), "doc_id")
-    least = F.first("doc_id").over(W.partitionBy("key").orderBy("doc_id"))
-    across = keys.select(F.col("doc_id").alias("a"), least.alias("b")).where("a <> b")
-    return inside.union(across).distinct()
+def candidate_edges(docs: DataFrame, n: int, num: int, den: int, id_col="doc_id", text_col="text") -> DataFrame:
+    """(a, b): every document tied to the smallest one that announced one of its keys.
+
+    Keys go from the kernel straight into the one shuffle; they are not stored.
+    """
+    named = _named(docs, id_col, text_col).where("doc_id IS NOT NULL")
+    keyed = named.mapInArrow(_key_kernel(n, num, den), "doc_id long, keys array<long>, met array<long>")
+    none = F.lit(None).cast("long")
+    announced = F.transform("keys", lambda k: F.struct(k.alias("key"), none.alias("other")))
+    ties = F.transform("met", lambda m: F.struct(F.col("doc_id").alias("key"), m.alias("other")))
+    rows = keyed.select("doc_id", F.explode(F.concat(announced, ties)).alias("e")).select("doc_id", "e.key", "e.other")
+    # a tie knows its smaller document already
+    same_key = W.partitionBy("key", F.col("other").isNull()).orderBy("doc_id")
+    least = F.coalesce("other", F.first("doc_id").over(same_key))
+    return rows.select(F.col("doc_id").alias("a"), least.alias("b")).where("a <> b").distinct()
 
 
 def jaccard_components(
@@ -396,11 +408,11 @@ def jaccard_components(
     A text without words, or null, links with nothing; a row without id links with nothing and has no
     component.  Rows that repeat an id count as copies of each other.
     """
-    sets = kept_table(gram_sets(docs, n, num, den, id_col, text_col), "grams")
+    sets = kept_table(gram_sets(docs, n, id_col, text_col), "grams")
     linkable = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linkable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = kept_table(classes, "classes")
-    clusters = connected(candidate_edges(linkable.select("doc_id", "keys", "met")), "candidates")
+    clusters = connected(candidate_edges(docs, n, num, den, id_col, text_col), "candidates")
     # the representatives of clusters with at least two different sets
     members = clusters.join(classes.select("rep", "copies", "n_shingles", "h1"), F.col("node") == F.col("rep"))
     members = kept_table(members.select("rep", "copies", "n_shingles", "h1", F.col("root").alias("cluster")), "members")
