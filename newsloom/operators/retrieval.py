@@ -29,7 +29,7 @@ MAX_QUERY_CHARS = 250
 # Words with their lists of asked terms are wider than usual broadcast rows.
 WORD_LISTS = 300_000
 SCORE_DIGITS = 9
-QUERY_BLOCK, ARTICLE_BLOCK = 512, 8192
+QUERY_BLOCK = 512
 
 
 def guard(queries: DataFrame) -> DataFrame:
@@ -215,49 +215,67 @@ def retrieve(
     return top_k(hits, limit)
 
 
-def vector_topk(articles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _unit(column) -> np.ndarray:
+    """Rows of an Arrow list column as vectors of length one."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    matrix = values.reshape(len(column), -1)
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(length > 0, length, 1.0)
+
+
+def _nearest_kernel(shared, k: int):
+    """The k best articles of a partition for every query of the block; ties go to the smaller id."""
+
+    def run(batches):
+        qids, asked = shared.value
+        best = [(np.empty(0), np.empty(0, object)) for _ in qids]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.array(batch.column("id").to_pylist(), object)
+            scores = np.round(asked @ _unit(batch.column("vector")).T, SCORE_DIGITS)
+            for i, mine in enumerate(scores):
+                near = np.arange(len(mine))
+                if len(mine) > k:
+                    near = np.flatnonzero(mine >= np.partition(mine, -k)[-k])
+                found, names = np.concatenate((best[i][0], mine[near])), np.concatenate((best[i][1], ids[near]))
+                first = sorted(range(len(found)), key=lambda j: (-found[j], names[j]))[:k]
+                best[i] = found[first], names[first]
+        for start in range(0, len(qids), QUERY_BLOCK):
+            part = range(start, min(start + QUERY_BLOCK, len(qids)))
+            counts = [len(best[i][0]) for i in part]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([q for i, n in zip(part, counts, strict=True) for q in [qids[i]] * n], pa.string()),
+                    pa.array([x for i in part for x in best[i][1]], pa.string()),
+                    pa.array(np.concatenate([best[i][0] for i in part]), pa.float64()),
+                ],
+                ["qid", "id", "score"],
+            )
+
+    return run
+
+
+def vector_topk(articles: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact nearest titles by cosine: ``qid, id, score, rank``.
 
-    Articles and query vectors are cut into blocks of bounded size; each pair of blocks is
-    one matrix product that sends on at most k rows per query (and ties), never all pairs.
+    Query vectors are shared in blocks of at most ``block``; the articles stay where they lie, and a
+    partition sends on k rows per query.
     """
+    context = articles.sparkSession.sparkContext
     wanted = queries.where(F.col("query_embedding").isNotNull()).select("qid", F.col("query_embedding").alias("vector"))
     vectors = articles.where(F.col("title_embedding").isNotNull()).select("id", F.col("title_embedding").alias("vector"))
-    n_query = max(1, -(-wanted.count() // QUERY_BLOCK))
-    n_articles = max(1, -(-vectors.count() // ARTICLE_BLOCK))
-
-    def block_of(column: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
-
-    def all_blocks(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    def unit(table: pa.Table) -> np.ndarray:
-        matrix = np.array(table["vector"].to_pylist(), dtype=float).reshape(table.num_rows, -1)
-        length = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return matrix / np.where(length > 0, length, 1.0)
-
-    def kernel(asked: pa.Table, found: pa.Table) -> pa.Table:
-        rows: list[tuple[str, str, float]] = []
-        if asked.num_rows and found.num_rows:
-            scores = np.round(unit(asked) @ unit(found).T, SCORE_DIGITS)
-            qids, ids = asked["qid"].to_pylist(), found["id"].to_pylist()
-            for qid, mine in zip(qids, scores):
-                border = np.partition(mine, -k)[-k] if len(mine) > k else -np.inf
-                rows += [(qid, ids[i], mine[i]) for i in np.flatnonzero(mine >= border)]
-        return pa.table(
-            {
-                "qid": pa.array([r[0] for r in rows], pa.string()),
-                "id": pa.array([r[1] for r in rows], pa.string()),
-                "score": pa.array([r[2] for r in rows], pa.float64()),
-            }
-        )
-
-    left = wanted.select("qid", "vector", block_of("qid", n_query).alias("qb"), all_blocks(n_articles).alias("ab"))
-    right = vectors.select("id", "vector", all_blocks(n_query).alias("qb"), block_of("id", n_articles).alias("ab"))
-    best = (
-        left.groupBy("qb", "ab")
-        .cogroup(right.groupBy("qb", "ab"))
-        .applyInArrow(kernel, "qid string, id string, score double")
-    )
+    n_blocks = max(1, -(-wanted.count() // block))
+    ranked = wanted.withColumn("at", F.row_number().over(W.partitionBy(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).alias("b")).orderBy("qid")))
+    ranked = ranked.withColumns({"b": F.pmod(F.xxhash64("qid"), F.lit(n_blocks)), "part": F.floor((F.col("at") - 1) / block)})
+    ranked = materialise(ranked, "query-vectors")
+    best = None
+    # a hash part has about `block` queries; larger ones are cut again
+    for row in ranked.select("b", "part").distinct().orderBy("b", "part").collect():
+        asked = ranked.where((F.col("b") == row["b"]) & (F.col("part") == row["part"])).select("qid", "vector").toArrow()
+        shared = context.broadcast((asked["qid"].to_pylist(), _unit(asked["vector"].combine_chunks())))
+        found = vectors.mapInArrow(_nearest_kernel(shared, k), "qid string, id string, score double")
+        best = found if best is None else best.unionByName(found)
+    if best is None:
+        best = articles.sparkSession.createDataFrame([], "qid string, id string, score double")
     return top_k(best, k)

@@ -1,12 +1,13 @@
 """Ordering of hits and the strictness levels."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom import fixtures as X
 from newsloom.operators import rerank
 from newsloom.operators.fuzzy import jaro_winkler, match_vocabulary
-from newsloom.operators.retrieval import in_date_range
+from newsloom.operators.retrieval import in_date_range, vector_topk
 from newsloom.plans import search as S
 from newsloom.plans.home import home_feed
 
@@ -103,3 +104,24 @@ def test_undated_hits_are_not_counted_in_a_timeline(spark):
         queries = spark.createDataFrame([("q", "strict", kind)], "qid string, strictness string, search_type string")
         row = rerank.search_summary(hits, queries, AS_OF).first()
         assert (row["n_hits"], row["n_recent"]) == (n, 2)
+
+
+def test_nearest_vectors_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (60, 3)).tolist()  # many ties
+    articles = spark.createDataFrame([(f"a{i:02}", [float(x) for x in v] if i % 9 else None) for i, v in enumerate(vectors)], "id string, title_embedding array<float>")
+    queries = spark.createDataFrame([(f"q{i}", [float(x) for x in v]) for i, v in enumerate(vectors[:8])] + [("none", None)], "qid string, query_embedding array<float>")
+
+    def unit(v):
+        v = np.array(v, float)
+        return v / (np.linalg.norm(v) or 1.0)
+
+    want = set()
+    for i, q in enumerate(vectors[:8]):
+        found = sorted((-round(float(unit(q) @ unit(v)), 9), f"a{j:02}") for j, v in enumerate(vectors) if j % 9)[:4]
+        want |= {(f"q{i}", name, rank) for rank, (_, name) in enumerate(found, 1)}
+    for block in (3, 512):
+        got = vector_topk(articles.repartition(4), queries, k=4, block=block)
+        assert {(r["qid"], r["id"], r["rank"]) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
