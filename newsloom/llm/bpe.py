@@ -36,7 +36,7 @@ NOT_PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ɏ‐-‧]")
 # where a cut at single blanks would not be independent
 CROWDED = re.compile(r" \s|\s ")
 assert array("I").itemsize == 4 and sys.byteorder == "little"
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 LONG_BLANK = re.compile(r"\s{500}")
 _NONE = 1 << 30
 
@@ -304,19 +304,25 @@ class Encoder:
         self.memory: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # pieces without the blank before them
         self.special = {c: array("I", [i]).tobytes() for c, i in vocabulary.special.items()}
+        self.library = library_encoding(vocabulary)
+        self.token_bytes = np.array([len(vocabulary.bytes_of.get(i, b"")) for i in range(max(vocabulary.bytes_of) + 1)], np.int64)
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Remembers the packed ids of pieces and their words: lexicon first, all other words merged together."""
+    def _learn(self, pieces: Iterable[str], plain: Iterable[str]) -> None:
+        """Remembers the packed ids of pieces and their words: lexicon first, all other words merged together.
+
+        ``plain`` pieces come from texts of plain characters only.
+        """
         memory = self.memory
         composed = {}
         unknown = set()
-        for piece in pieces:
-            if piece.startswith(" ") and piece[1:].isalpha():
-                unknown.add(piece)  # one word
-            else:
-                composed[piece] = pretokens(piece)
-                unknown.update(composed[piece])
-        unseen = list(unknown.difference(memory))
+        for group, cut in (pieces, pretokens), (plain, PLAIN_PATTERN.findall):
+            for piece in group:
+                if piece.startswith(" ") and piece[1:].isalpha():
+                    unknown.add(piece)  # one word
+                else:
+                    composed[piece] = parts = cut(piece)
+                    unknown.update(parts)
+        unseen = unknown.difference(memory)
         if self.find:
             known, unseen = unseen, []
             for word in known:
@@ -324,10 +330,29 @@ class Encoder:
                     unseen.append(word)
                 else:
                     memory[word] = found
+        if self.library:
+            letters = [w for w in unseen if w.removeprefix(" ").isalpha()]
+            memory.update(zip(letters, self._merge_letters(letters), strict=True))
+            unseen = [w for w in unseen if w not in memory]
+        unseen = list(unseen)
         memory.update(zip(unseen, self.vocabulary.merge_many([w.encode() for w in unseen]), strict=True))
         for piece, parts in composed.items():
             memory[piece] = b"".join([memory[word] for word in parts])
 
+    def _merge_letters(self, words: list[str]) -> Iterator[bytes]:
+        """Packed ids of words of letters, with or without a blank before them, merged in one call.
+
+        A line feed between two such words is a pre-token of its own, so the ends of the tokens tell the
+        ids of one word from those of the next.
+        """
+        ids = self.library.encode_to_numpy("\n".join(words), disallowed_special=()).astype("<u4")
+        ends = np.cumsum(self.token_bytes[ids])
+        sizes = np.array([len(w.encode()) for w in words], np.int64)
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        low, high = np.searchsorted(ends, starts, "right"), np.searchsorted(ends, starts + sizes, "right")
+        packed = ids.tobytes()
+        return (packed[4 * a : 4 * b] for a, b in zip(low.tolist(), high.tolist(), strict=True))
+
     def _pieces(self, text: str) -> list[str] | tuple[str, list[str]]:
         """Pieces of a text; as head and rest if all of the rest follow a single blank that is left out."""
         if not text:
@@ -367,10 +392,10 @@ class Encoder:
             spaced.clear()
             new = after_blank
         named = [" " + piece for piece in new]
-        self._learn([*whole.difference(memory), *named])
+        self._learn(whole.difference(memory), named)
         # with their blank, pieces that are no words are not asked for again
         for piece, name in zip(new, named, strict=True):
-            spaced[piece] = memory.pop(name) if piece.isalpha() else memory[name]
+            spaced[piece] = memory.pop(name) if piece.isalpha() and name not in whole else memory[name]
         at, after = memory.__getitem__, spaced.__getitem__
 
         def packed(part) -> bytes:
@@ -446,14 +471,22 @@ def words_of(texts: Iterable[str], vocabulary: Vocabulary) -> Iterator[tuple[str
     yield from words.items()
 
 
-def library_encoder(vocabulary: Vocabulary) -> Callable[[str], bytes] | None:
-    """Packed ids by the installed tokenizer library, where the rank of a merge is the id of its result."""
+def library_encoding(vocabulary: Vocabulary) -> tiktoken.Encoding | None:
+    """The installed library's encoding, if the rank of every merge is the id of its result."""
     ids = [merged for _, (_, merged) in sorted(vocabulary.pairs.items(), key=lambda item: item[1][0])]
     if ids != sorted(ids) or (ids and min(ids) < 256) or sorted(vocabulary.byte_id) != list(range(256)):
         return None
-    ranks = {raw: i for i, raw in vocabulary.bytes_of.items() if i not in set(vocabulary.special.values())}
-    own = tiktoken.Encoding("own", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens=vocabulary.special)
+    special = set(vocabulary.special.values())
+    ranks = {raw: i for i, raw in vocabulary.bytes_of.items() if i not in special}
+    return tiktoken.Encoding("own", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens=vocabulary.special)
+
+
+def library_encoder(vocabulary: Vocabulary) -> Callable[[str], bytes] | None:
+    """Packed ids of whole texts by the installed tokenizer library."""
     plain = Encoder(vocabulary)
+    own = plain.library
+    if own is None:
+        return None
 
     def encode(text: str) -> bytes:
         # the library's pattern engine does not finish on very long runs of blanks
