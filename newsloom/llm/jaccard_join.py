@@ -32,6 +32,8 @@ from newsloom.llm.components import connected
 
 BLOCK_SETS = 256
 BLOCK_GRAMS = 1 << 19
+# segments are used from a similarity on that gives them this many elements
+SEGMENT_GRAMS = 8
 # a segment with at most this many elements says little
 WEAK = 1
 
@@ -207,6 +209,38 @@ def gram_sets(docs: DataFrame, n: int, id_col="doc_id", text_col="text") -> Data
     return _named(docs, id_col, text_col).mapInArrow(_set_kernel(n), "doc_id long, n_shingles long, h1 long, h2 long")
 
 
+def _gram_kernel(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            sets = [gram_set(raw, n).view(np.int64) for raw in encoded(batch.column(1))]
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), grams], ["doc_id", "grams"])
+
+    return run
+
+
+def rare_prefix_edges(docs: DataFrame, sizes: DataFrame, n: int, num: int, den: int, id_col="doc_id", text_col="text") -> DataFrame:
+    """(a, b): every document tied to the smallest one with one of its rarest n-grams.
+
+    For lower similarities segments get too small to tell documents apart.  Here the global order is by
+    number of documents, then by hash, counted exactly.  A similar pair shares one of the first
+    |x| - ceil(similarity * |x|) + 1 n-grams of either set; those of one document come first and need
+    not be asked for, so a document with enough n-grams of its own has no candidates at all, and a
+    passage that many documents share comes last.
+    """
+    named = _named(docs, id_col, text_col).where("doc_id IS NOT NULL")
+    grams = named.mapInArrow(_gram_kernel(n), "doc_id long, grams array<long>").select("doc_id", F.explode("grams").alias("gram"))
+    counted = grams.withColumn("df", F.count("*").over(W.partitionBy("gram")))
+    shared = counted.where("df > 1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("shared"))
+    own = sizes.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
+    prefix = F.col("size") - F.ceil(F.col("size") * num / den) + 1
+    asked = F.greatest(F.lit(0), prefix - (F.col("size") - F.size("shared"))).cast("int")
+    first = shared.join(own, "doc_id").select("doc_id", F.explode(F.slice("shared", F.lit(1), asked)).alias("g"))
+    least = F.first("doc_id").over(W.partitionBy("g").orderBy("doc_id"))
+    return first.select(F.col("doc_id").alias("a"), least.alias("b")).where("a <> b").distinct()
+
+
 class Trie:
     """Compressed prefix tree of sorted integer sets; nodes in order of depth."""
 
@@ -412,7 +446,12 @@ def jaccard_components(
     linkable = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linkable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = kept_table(classes, "classes")
-    clusters = connected(candidate_edges(docs, n, num, den, id_col, text_col), "candidates")
+    # mean elements of a segment: (1 + similarity) / (2 - 2 * similarity)
+    if den + num >= SEGMENT_GRAMS * 2 * (den - num):
+        edges = candidate_edges(docs, n, num, den, id_col, text_col)
+    else:
+        edges = rare_prefix_edges(docs, linkable, n, num, den, id_col, text_col)
+    clusters = connected(edges, "candidates")
     # the representatives of clusters with at least two different sets
     members = clusters.join(classes.select("rep", "copies", "n_shingles", "h1"), F.col("node") == F.col("rep"))
     members = kept_table(members.select("rep", "copies", "n_shingles", "h1", F.col("root").alias("cluster")), "members")
