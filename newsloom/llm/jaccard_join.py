@@ -460,7 +460,8 @@ def jaccard_components(
     asked = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
     asked = asked.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    texts = asked.join(texts, "rep")
+    # texts are dealt by id at every size, never joined to a broadcast list of candidates
+    texts = asked.hint("merge").join(texts, "rep")
     # a block meets itself and every other block of its cluster once
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = texts.select("cluster", "block", "rep", "copies", "h1", "text", other.alias("other")).select(
