@@ -11,6 +11,7 @@ from newsloom.plans.historical import historical_urls
 from newsloom.plans.ingest import build_articles, ingest
 from newsloom.sources import articles as store
 from newsloom.sources import links
+from newsloom.streaming import loops
 
 
 def test_link_dump(spark, tmp_path):
@@ -204,3 +205,15 @@ def test_build_articles_beginning(spark):
     row = build_articles(page, "2024-01-05 00:00:00").first()
     assert row["article_text_beginning"].split(" ")[-1] == "99"
     assert (row["id"], row["normalized_domain"]) == ("a_com_x", "a.com")
+
+
+def test_landed_pages_become_articles(spark, sf_dir, tmp_path):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html").limit(12)
+    pages.write.parquet(str(tmp_path / "landing"))
+    sources = links.url_domain(F.col("url")).alias("normalized_domain")
+    named = pages.select(sources).distinct().withColumn("source_name", F.upper("normalized_domain"))
+    landing = loops.read_landing(spark, str(tmp_path / "landing"), pages.schema)
+    table = str(tmp_path / "table")
+    loops.stream_pages(landing, table, str(tmp_path / "state"), ["en", "de", "fr", "es"], "2024-01-05 00:00:00", sources=named).awaitTermination()
+    rows = store.read_articles(spark, table).collect()
+    assert rows and all(r["source_name"] == r["normalized_domain"].upper() and r["article_text"] for r in rows)
