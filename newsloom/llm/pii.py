@@ -1,7 +1,8 @@
 """Personal data by base patterns and bootstrapped contexts, in DataFrame functions only.
 
 Base entities (e-mail, IP address, payment card, telephone) are found by their patterns in every whole
-text.  They seed a graph between left contexts and identifier-like tokens of the corpus: a context is as
+text.  They seed a graph between left contexts and identifier-like candidates of the corpus, each one token or
+neighbouring tokens of one identifier; those of a list have the context of the list.  A context is as
 trustworthy for a kind as the share of its tokens that are of this kind, an unknown token is as likely of
 a kind as its contexts are trustworthy.  Both are computed in turn from joins and aggregates.  Unknown
 tokens in contexts of high confidence with enough different entities are reported too.
@@ -33,7 +34,9 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 IDENTIFIER = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 CONTEXT_CHARS = 64
 FOLD_BLOCK = 256
-SPAN = "array<struct<start:int,stop:int,value:string,context:string>>"
+SPAN = "array<struct<start:int,stop:int,value:string,context:string,link:string>>"
+# the last token of the text between two identifiers that is more than a separator of a list
+LEFT = r"(?<!\S)([,;]*+[^\s,;]\S*+)(?:\s++[,;]++(?!\S))*+\s*+$"
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,8 +45,11 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Non-overlapping matches as structs: start and stop in code points, value, the token to the left.
+    """Non-overlapping matches as structs: start and stop in code points, value, context, link.
 
+    The context is the token to the left.  A match that follows another one with nothing but blanks or list
+    separators between them has the context of that one, or that one itself when it ends as a label does
+    (``:`` or ``=``).  ``link`` has the blanks to the match before when both can be parts of one identifier.
     Positions follow from the lengths of the matches and of the text between them.
     """
 
@@ -51,22 +57,34 @@ def matches(text: Column, pattern: str) -> Column:
         gap, value = F.get(both["gaps"], i), F.get(both["found"], i)
         start = acc["at"] + F.length(gap)
         stop = start + F.length(value)
-        left = F.lower(F.regexp_extract(F.right(gap, F.lit(CONTEXT_CHARS)), r"(\S++)\s*+$", 1))
-        row = F.struct(start.alias("start"), stop.alias("stop"), value.alias("value"), left.alias("context"))
-        return F.struct(stop.alias("at"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+        end = F.right(acc["last"], F.lit(1))
+
+        def rows(left: Column) -> Column:
+            token = F.when(left == "", F.when(end.isin(":", "="), acc["last"])).otherwise(left)
+            context = F.coalesce(F.lower(F.right(token, F.lit(CONTEXT_CHARS))), acc["context"])
+            link = F.when((acc["last"] != "") & ~end.isin(",", ";", ":", "=") & gap.rlike(r"^[ \t]+$"), gap)
+            row = F.struct(start.alias("start"), stop.alias("stop"), value.alias("value"), context.alias("context"), link.alias("link"))
+            return F.concat(acc["rows"], F.array(row))
+
+        more = bound(F.regexp_extract(gap, LEFT, 1), rows)
+        return bound(
+            more,
+            lambda r: F.struct(stop.alias("at"), F.element_at(r, -1)["context"].alias("context"), value.alias("last"), r.alias("rows")),
+        )
 
-    def block(both: Column, at: Column, number: Column) -> Column:
+    def block(both: Column, state: Column, number: Column) -> Column:
         last = F.least((number + 1) * FOLD_BLOCK, F.size(both["found"])) - 1
-        empty = F.struct(at.alias("at"), F.array().cast(SPAN).alias("rows"))
+        empty = F.struct(state["at"].alias("at"), state["context"].alias("context"), state["last"].alias("last"), F.array().cast(SPAN).alias("rows"))
         return F.aggregate(F.sequence(number * FOLD_BLOCK, last), empty, lambda acc, i: step(both, acc, i))
 
     def folded(both: Column) -> Column:
         # blocks keep the appending of rows near linear in texts with very many matches
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("blocks"))
+        none = F.lit("")
+        empty = F.struct(F.lit(0).alias("at"), none.alias("context"), none.alias("last"), F.array().cast(f"array<{SPAN}>").alias("blocks"))
         numbers = F.sequence(F.lit(0), ((F.size(both["found"]) - 1) / FOLD_BLOCK).cast("int"))
         more = lambda acc, i: bound(
-            block(both, acc["at"], i),
-            lambda r: F.struct(r["at"].alias("at"), F.concat(acc["blocks"], F.array(r["rows"])).alias("blocks")),
+            block(both, acc, i),
+            lambda r: F.struct(r["at"].alias("at"), r["context"].alias("context"), r["last"].alias("last"), F.concat(acc["blocks"], F.array(r["rows"])).alias("blocks")),
         )
         return F.when(F.size(both["found"]) == 0, F.array().cast(SPAN)).otherwise(
             F.aggregate(numbers, empty, more, lambda acc: F.flatten(acc["blocks"]))
@@ -76,6 +94,55 @@ def matches(text: Column, pattern: str) -> Column:
     return bound(F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("found")), folded)
 
 
+def _in_context(spans: Column, tokens: Column) -> Column:
+    """Spans with the context of the token they begin in, or with what this token has before them."""
+
+    def token_of(s: Column) -> Column:
+        # the last token that starts at or before the span, by halving
+        def half(acc: Column, _: Column) -> Column:
+            middle = ((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
+            before = F.get(tokens, middle)["start"] <= s["start"]
+            return F.struct(
+                F.when(before, middle).otherwise(acc["lo"]).alias("lo"),
+                F.when(before, acc["hi"]).otherwise(F.greatest(acc["lo"], middle - 1)).alias("hi"),
+            )
+
+        whole = F.struct(F.lit(0).alias("lo"), (F.size(tokens) - 1).alias("hi"))
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(tokens) + 1)).cast("int"))
+        return F.get(tokens, F.aggregate(steps, whole, half, lambda acc: acc["lo"]))
+
+    def context(s: Column, token: Column) -> Column:
+        head = F.substring(token["value"], F.lit(1), s["start"] - token["start"])
+        label = head.rlike(r"[:=]$") | (head.rlike(r"\p{L}") & ~head.rlike("[0-9@]"))
+        return F.when(label, F.lower(F.right(head, F.lit(CONTEXT_CHARS)))).otherwise(token["context"])
+
+    def row(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), bound(token_of(s), lambda t: context(s, t)).alias("context"))
+
+    return F.transform(spans, row)
+
+
+def _joined(tokens: Column) -> Column:
+    """Tokens with those of one identifier joined: neighbours with nothing but blanks between them."""
+
+    def begins(rows: Column, i: Column) -> Column:
+        row = F.get(rows, i)
+        return (i == 0) | row["link"].isNull() | (F.get(rows, i - 1)["stop"] + F.length(row["link"]) != row["start"])
+
+    def run(rows: Column, first: Column, n: Column) -> Column:
+        head = F.get(rows, first)
+        more = F.transform(F.slice(rows, first + 2, n - 1), lambda t: F.concat(t["link"], t["value"]))
+        value = F.concat(head["value"], F.array_join(more, ""))
+        return F.struct(head["start"].alias("start"), F.get(rows, first + n - 1)["stop"].alias("stop"), value.alias("value"), head["context"].alias("context"))
+
+    def runs(rows: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: begins(rows, i))
+        return bound(firsts, lambda f: F.transform(f, lambda x, k: run(rows, x, F.coalesce(F.get(f, k + 1), F.size(rows)) - x)))
+
+    none = F.array().cast("array<struct<start:int,stop:int,value:string,context:string>>")
+    return bound(tokens, lambda rows: F.when(F.size(rows) == 0, none).otherwise(runs(rows)))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -110,17 +177,17 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def found_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a row number, the base spans of each kind, and tokens like identifiers outside of them."""
+    """``docs`` with a row number, the base spans of each kind, and candidates like identifiers outside of them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = ready(docs).withColumns({"_row": F.monotonically_increasing_id(), "_text": text})
-    out = out.withColumns({f"_{kind}": base_spans(F.col("_text"), kind) for kind in KINDS})
     tokens = F.when(F.col("_text").rlike("[0-9@]"), matches(F.col("_text"), IDENTIFIER)).otherwise(F.array().cast(SPAN))
     out = out.withColumn("_tokens", tokens)
+    out = out.withColumns({f"_{kind}": _in_context(base_spans(F.col("_text"), kind), F.col("_tokens")) for kind in KINDS})
     base = F.concat(*(F.col(f"_{kind}") for kind in KINDS))
     outside = F.filter(
         F.col("_tokens"), lambda t: ~F.exists(base, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))
     )
-    return out.withColumn("_tokens", outside).drop("_text")
+    return out.withColumn("_tokens", _joined(outside)).drop("_text")
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
@@ -176,9 +243,9 @@ def learn_contexts(found: DataFrame, rounds: int = 2, min_score: float = 0.8, mi
 
 
 def _trimmed(span: Column, kind: Column) -> Column:
-    """The token without punctuation around it."""
+    """The candidate without punctuation around it; a parenthesis that closes before its last letter or digit stays."""
     value = span["value"]
-    lead = F.length(value) - F.length(F.regexp_replace(value, r"^[^\p{L}\p{N}@+]++", ""))
+    lead = F.length(value) - F.length(F.regexp_replace(value, r"(?s)^(?:(?!\([^()]*+\).*[\p{L}\p{N}])[^\p{L}\p{N}@+])++", ""))
     kept = F.length(F.regexp_extract(value, r"(?s)^(.*[\p{L}\p{N}])", 1))
     return F.struct(kind.alias("kind"), (span["start"] + lead).alias("start"), (span["start"] + F.greatest(kept, lead)).alias("stop"))
 

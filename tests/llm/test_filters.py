@@ -175,6 +175,37 @@ def test_contexts_find_unknown_identifiers(spark):
     assert got[9] == [("card", "AC-977-Q")]
 
 
+def test_identifiers_in_parts_and_in_lists(spark):
+    rows = [(i, f"dial: +1 (234) 567-89{i:02d} now") for i in range(40)]
+    cards = ("4012888888881881", "5555555555554444", "378282246310005", "6011111111111117", "4222222222222", "4111111111111111")
+    rows += [(100 + i, f"account: {cards[i % 6]}, {cards[(i + 1) % 6]} x") for i in range(40)]
+    asked = {
+        200: ("dial: (234) 567-8901", [("phone", "(234) 567-8901")]),
+        201: ("account: 4111 1111 1111 1112 bye", [("card", "4111 1111 1111 1112")]),
+        202: ("account: AC-1, AC-2 , AC-3\nAC-4 AC5", [("card", "AC-1"), ("card", "AC-2"), ("card", "AC-3"), ("card", "AC-4 AC5")]),
+        203: ("account: 4111111111111111, AC-1 b", [("card", "4111111111111111"), ("card", "AC-1")]),
+        204: ("account:" + " " * 80 + "AC-9", [("card", "AC-9")]),
+        205: ("é😀 dial: (555) 12\t34 room2: 99 x", [("phone", "(555) 12\t34 room2")]),
+        206: ("room 12 34, 56", []),
+    }
+    docs = spark.createDataFrame(rows + [(i, text) for i, (text, _) in asked.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    for i, (_, spans) in asked.items():
+        assert [(s.kind, got[i].text[s.start : s.stop]) for s in got[i].spans] == spans
+    found = pii.found_entities(docs).collect()
+    contexts = {r.doc_id: [s.context for s in r._card] for r in found}
+    assert all(contexts[100 + i] == ["account:", "account:"] for i in range(40))
+    assert {r.doc_id: [t.context for t in r._tokens] for r in found}[205] == ["dial:", "room2:"]
+
+
+def test_contexts_of_very_many_matches(spark):
+    text = "account: " + " ".join(f"a{i}@b.cc, AC-{i}," for i in range(700))
+    (row,) = pii.found_entities(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [s.value for s in row._email] == [f"a{i}@b.cc" for i in range(700)]
+    assert [t.value for t in row._tokens] == [f"AC-{i}," for i in range(700)]
+    assert {s.context for s in row._email + row._tokens} == {"account:"}
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "to a@b.cc, card 4111 1111 1111 1111!"), (2, "none"), (3, None)], "doc_id long, text string")
     rows = pii.personal_data(docs).select("doc_id", pii.redacted(pii.F.col("text"), pii.F.col("spans")).alias("t")).collect()
