@@ -13,7 +13,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import kept_table
@@ -91,14 +91,12 @@ def mine_rules(
     min_pages: int = 10,
     min_confidence: float = 0.6,
     min_lift: float = 1.5,
-    max_tokens: int = 4,
-    max_rules: int = 1_000,
 ) -> list[MinedRule]:
     """Rules that name pages to block, from at most ``sample`` labelled pages (smallest hash of the id).
 
-    A page is bad when its label has quality 0 or toxic 1; labels join on page_id = doc_id.  Rules come
-    in order of confidence, then support; at most ``max_rules`` of them form the index.  A combination
-    has to occur in ``min_pages`` pages, however small the sample is.
+    A page is bad when its label has quality 0 or toxic 1; labels join on page_id = doc_id.  All rules that
+    pass and are not redundant form the index, in order of confidence, then support.  A combination has to
+    occur in ``min_pages`` pages, however small the sample is.
     """
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     chosen = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(bad).alias("_bad"))
@@ -110,22 +108,52 @@ def mine_rules(
     if n < min_pages:
         return []
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_pages / n), minConfidence=min_confidence).fit(baskets)
-    found = (
-        model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.col("lift") >= min_lift))
-        .where((F.size("antecedent") <= max_tokens) & ~F.array_contains("antecedent", "label:none"))
-        .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-        .orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), "tokens")
-        .limit(max_rules)
-        .collect()
-    )
-    rules: list[MinedRule] = []
-    for row in sorted(found, key=lambda r: (len(r.tokens), -r.confidence, r.tokens)):
-        tokens = set(row.tokens)
-        if not any(tokens > set(r.tokens) and r.confidence >= row.confidence for r in rules):
-            rules.append(MinedRule(tuple(row.tokens), row.confidence, row.support))
+    sets = kept_table(model.freqItemsets.where(~F.array_contains("items", "label:none")), "itemsets")
+    rules = [MinedRule(tuple(r.tokens), r.confidence, r.support) for r in _least_rules(sets, n, min_confidence, min_lift)]
     return sorted(rules, key=lambda r: (-r.confidence, -r.support, r.tokens))
 
 
+def _least_rules(sets: DataFrame, n: int, min_confidence: float, min_lift: float) -> list[Row]:
+    """Passing rules (tokens, confidence, support) from all frequent sets of ``n`` baskets (items, freq).
+
+    A rule goes when a proper part of its tokens passes with at least its confidence.  Parts of a frequent
+    set are frequent, so sets learn level by level, from those with one token less, the best confidence
+    of all their parts that pass.
+    """
+    blocked = F.array_contains("items", BLOCK)
+    share = sets.where(blocked & (F.size("items") == 1)).select("freq").first()
+    if share is None:
+        return []
+    both = sets.where(blocked & (F.size("items") > 1)).select(
+        F.array_sort(F.array_remove("items", BLOCK)).alias("tokens"), F.col("freq").alias("both")
+    )
+    alone = sets.where(~blocked).select(F.array_sort("items").alias("tokens"), "freq")
+    sure = F.col("both") / F.col("freq")
+    passes = (sure >= min_confidence) & (sure / (share.freq / n) >= min_lift)
+    combinations = both.join(alone, "tokens").select(
+        "tokens", sure.alias("confidence"), (F.col("both") / n).alias("support"), passes.alias("passes")
+    )
+    combinations = kept_table(combinations, "combinations")
+    smallest, largest = combinations.where("passes").select(F.min(F.size("tokens")), F.max(F.size("tokens"))).first()
+    if smallest is None:
+        return []
+    best, levels = None, []
+    for k in range(smallest, largest + 1):
+        level = combinations.where(F.size("tokens") == k)
+        if best is None:
+            level = level.withColumn("below", F.lit(None).cast("double"))
+        else:
+            without = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.concat(F.slice("tokens", 1, i - 1), F.slice("tokens", i + 1, k)))
+            parts = level.select("tokens", F.explode(without).alias("part")).join(best, "part")
+            level = level.join(parts.groupBy("tokens").agg(F.max("best").alias("below")), "tokens", "left")
+        level = kept_table(level, "rules")
+        levels.append(level.where("passes AND (below IS NULL OR below < confidence)").select("tokens", "confidence", "support"))
+        # null while nothing below passes
+        held = F.greatest("below", F.when(F.col("passes"), F.col("confidence")))
+        best = level.select(F.col("tokens").alias("part"), held.alias("best")).where("best IS NOT NULL")
+    return [row for level in levels for row in level.collect()]
+
+
 def inverted_index(rules: list[MinedRule]) -> Column:
     """Constant map: rarest token of a rule (rarest among the rules) to the token lists to check."""
     uses: dict[str, int] = {}

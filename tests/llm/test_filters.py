@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -57,6 +58,40 @@ def test_rules_are_mined(spark):
     assert url_rules.mine_rules(pages.limit(0), labels) == []
 
 
+def test_rules_of_every_bad_host_are_kept(spark):
+    """Frequent bad hosts with very many redundant combinations leave the rules of a less frequent one."""
+    rows = [f"http://bad{h}.a{h}-b{h}-c{h}.d{h}/e{h}/f{h}/g{h}?h{h}=1&i{h}=2" for h in range(4) for _ in range(30)]
+    rows += ["http://rare.org/x"] * 12 + [f"http://good{i % 50}.org/x" for i in range(300)]
+    pages = spark.createDataFrame([(i, url) for i, url in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("good" in url), 0) for i, url in enumerate(rows)], "doc_id long, quality int, toxic int")
+    rules = url_rules.mine_rules(pages, labels)
+    assert ("host:rare",) in {r.tokens for r in rules} and {len(r.tokens) for r in rules} == {1}
+    verdicts = {r.url: r.verdict for r in url_rules.judge_urls(pages, rules).collect()}
+    assert all((v == "allow") == ("good" in url) for url, v in verdicts.items())
+
+
+def test_rules_are_the_least_ones(spark):
+    """Against all parts by brute force; five tokens that only together are bad form a rule."""
+    rnd = np.random.default_rng(2)
+    baskets = [set("abcdefg"[i] for i in range(7) if rnd.random() < 0.75) for _ in range(300)]
+    baskets = [b | ({url_rules.BLOCK} if set("abcde") <= b or ("f" in b and rnd.random() < 0.3) else set()) for b in baskets]
+    counts = {}
+    for b in baskets:
+        for k in range(1, len(b) + 1):
+            for c in itertools.combinations(sorted(b), k):
+                counts[c] = counts.get(c, 0) + 1
+    sets = spark.createDataFrame([(list(c), k) for c, k in counts.items() if k >= 10], "items array<string>, freq long")
+    got = {tuple(r.tokens): r.confidence for r in url_rules._least_rules(sets, 300, 0.6, 1.5)}
+    share = counts[(url_rules.BLOCK,)] / 300
+    sure = {}
+    for c in counts:
+        both = counts.get(tuple(sorted((*c, url_rules.BLOCK))), 0)
+        if url_rules.BLOCK not in c and both >= 10 and both / counts[c] >= 0.6 and both / counts[c] / share >= 1.5:
+            sure[c] = both / counts[c]
+    want = {c: p for c, p in sure.items() if not any(set(o) < set(c) and q >= p for o, q in sure.items())}
+    assert got == want and ("a", "b", "c", "d", "e") in got
+
+
 def statistics_by_force(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
