@@ -366,7 +366,8 @@ class _Forest:
 def _trie_kernel(n: int, num: int, den: int):
     """Sorted input (task key, side, id, copies, h1, text) to rows (a, b, links): forest edges, or link counts with b null."""
 
-    def solved(rows) -> pa.RecordBatch:
+    def solved(key, rows) -> pa.RecordBatch:
+        itself = key[1] == key[2]  # a block with itself, or two blocks, of which one may be empty
         sides, sets, seen = ([], []), ([], []), set()
         for row in rows:
             grams = gram_set(row[4], n)
@@ -376,10 +377,10 @@ def _trie_kernel(n: int, num: int, den: int):
             seen.add(row[:4])
             sides[row[0]].append(row)
             sets[row[0]].append(grams)
-        a_rows, b_rows = (sides[0], sides[1]) if sides[1] else (sides[0], sides[0])
+        a_rows, b_rows = sides[0], sides[0 if itself else 1]
         forest, edges = _Forest(), []
         links: dict[int, int] = {}
-        pairs = link_sets(sets[0], sets[1] if sides[1] else None, num, den) if sides[0] else ()
+        pairs = link_sets(sets[0], None if itself else sets[1], num, den) if a_rows and b_rows else ()
         for i, j in pairs:
             a, b = a_rows[i], b_rows[j]
             links[a[1]] = links.get(a[1], 0) + b[2]
@@ -398,11 +399,11 @@ def _trie_kernel(n: int, num: int, den: int):
             for key, row in zip(keys, rows, strict=True):
                 if key != now:
                     if held:
-                        yield solved(held)
+                        yield solved(now, held)
                     now, held = key, []
                 held.append(row)
         if held:
-            yield solved(held)
+            yield solved(now, held)
 
     return run
 

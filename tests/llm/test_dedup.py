@@ -106,6 +106,15 @@ def test_links_over_blocks(spark, sf_dir):
     assert got == links_by_force(rows, 3, 80, 100)
 
 
+@pytest.mark.parametrize("block_grams", [3, 40])
+def test_links_over_empty_blocks(spark, block_grams):
+    """More blocks than members: a pair of blocks with an empty side has no links."""
+    rows = [(i, " ".join(f"{i // 3}-{k}" for k in range(30 + i % 3))) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in J.jaccard_components(docs, 3, 90, 100, block_grams=block_grams).collect()}
+    assert got == links_by_force(rows, 3, 90, 100)
+
+
 def test_rows_without_id_and_repeated_rows(small):
     got = J.jaccard_components(small, 3, 90, 100).collect()
     assert len(got) == small.count()
