@@ -97,6 +97,25 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.order_minhash import fingerprint_documents
+
+    found = fingerprint_documents(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.conversations import damage, repair_audit, repaired_turns
+
+    return repair_audit(repaired_turns(damage(table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -116,6 +135,9 @@ QUERIES = {
         op8_packing,
         op9_warc_round_trip,
         op10_quality_rules,
+        op11_order_minhash,
+        op12_source_divergence,
+        op13_conversation_repair,
         pipeline,
     )
 }

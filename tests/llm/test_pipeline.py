@@ -18,7 +18,7 @@ def test_against_sql(spark, sf_dir, name):
 
 def test_all_are_registered():
     assert set(queries.QUERIES) <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 def test_stages(spark, sf_dir):
