@@ -17,10 +17,10 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -81,50 +81,65 @@ class _Block:
         held.update(words)
         self.entries += len(held) - before
 
-    def seen(self, lang: str, words: set[bytes]) -> None:
+    def seen(self, lang: str, words: set[bytes], documents: int) -> None:
         held = self.docs.setdefault(lang, Counter())
         before = len(held)
-        held.update(words)
+        held.update(words if documents else dict.fromkeys(words, 0))
         self.entries += len(held) - before
 
     def run(self) -> Iterator[pa.RecordBatch]:
         """The block as term-sorted segments; then it is empty."""
-        for lang in self.counts.keys() | self.docs.keys():
-            counts, docs = self.counts.get(lang, {}), self.docs.get(lang, {})
-            sources = sorted(counts)
-            entries = [(w, i, n) for i, s in enumerate(sources) for w, n in counts[s].items()]
-            entries += [(w, -1, 0) for w in docs if not any(w in counts[s] for s in sources)]
-            entries.sort()
-            grouped = ((w, [(i, n) for _, i, n in g if i >= 0]) for w, g in groupby(entries, key=lambda e: e[0]))
-            yield from segments(lang, sources, ((w, docs.get(w, 0), p) for w, p in grouped), 0, self.shards)
+        for lang, docs in self.docs.items():
+            if not docs:
+                continue
+            counts = self.counts[lang]
+            words, sources = sorted(docs), sorted(counts)
+            place = dict(zip(words, range(len(words)), strict=True))
+            terms = [np.fromiter(map(place.__getitem__, counts[s]), np.int64, len(counts[s])) for s in sources]
+            number = [np.fromiter(counts[s].values(), np.int64, len(counts[s])) for s in sources]
+            of = np.repeat(np.arange(len(sources)), [len(t) for t in terms])
+            in_docs = np.fromiter(map(docs.__getitem__, words), np.int64, len(words))
+            yield from segments(lang, sources, words, in_docs, (np.concatenate(terms), of, np.concatenate(number)), 0, self.shards)
         self.clear()
 
 
-def segments(lang: str, sources: list[str], terms, tag: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Segments of sorted (term, number of documents, [(source, count)]), dealt by the hash of the term."""
-    open_: dict[int, list] = {}
-
-    def row(shard, part):
-        used = sorted({i for _, _, postings in part for i, _ in postings})
-        place = {i: j for j, i in enumerate(used)}
-        return (
-            shard, lang, part[0][0], b" ".join(w for w, _, _ in part), tag,
-            np.array([d for _, d, _ in part], np.int64).tobytes(),
-            np.array([len(p) for _, _, p in part], np.int32).tobytes(),
-            np.array([place[i] for _, _, p in part for i, _ in p], np.int32).tobytes(),
-            np.array([n for _, _, p in part for _, n in p], np.int64).tobytes(),
-            [sources[i] for i in used],
-        )
-
-    for word, docs, postings in terms:
-        shard = zlib.crc32(word) % shards
-        part = open_.setdefault(shard, [])
-        part.append((word, docs, postings))
-        if len(part) >= SEGMENT_TERMS:
-            yield _batch(SEGMENTS, [row(shard, open_.pop(shard))])
-    rows = [row(shard, part) for shard, part in sorted(open_.items())]
-    for at in range(0, len(rows), 64):
-        yield _batch(SEGMENTS, rows[at : at + 64])
+def segments(lang: str, sources: list[str], words: list[bytes], docs: np.ndarray, postings: tuple, tag: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Segments of sorted terms with their numbers of documents, dealt by the hash of the term.
+
+    ``postings`` are three arrays: place of the term, place of the source, count.
+    """
+    if not words:
+        return
+    shard = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
+    order = np.argsort(shard, kind="stable")  # by shard, then by term
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    by = np.lexsort((postings[1], place[postings[0]]))
+    at, of, counts = place[postings[0]][by], postings[1][by], postings[2][by]
+    begins = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    cuts = [c for x, y in zip(begins, [*begins[1:], len(words)], strict=True) for c in range(x, y, SEGMENT_TERMS)]
+    rows = []
+    for x, y in zip(cuts, [*cuts[1:], len(words)], strict=True):
+        some = order[x:y]
+        i, j = np.searchsorted(at, (x, y))
+        used, places = np.unique(of[i:j], return_inverse=True)
+        widths = np.bincount(at[i:j] - x, minlength=y - x)
+        part = [words[w] for w in some.tolist()]
+        rows.append((
+            int(shard[some[0]]), lang, part[0], b" ".join(part), tag, docs[some].tobytes(), widths.astype(np.int32).tobytes(),
+            places.astype(np.int32).tobytes(), counts[i:j].tobytes(), [sources[u] for u in used.tolist()],
+        ))
+        if len(rows) >= 64:
+            yield _batch(SEGMENTS, rows)
+            rows = []
+    if rows:
+        yield _batch(SEGMENTS, rows)
+
+
+def _tagged(lang: str, words: set[bytes], tag: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Terms of a part of a document: each counts one document, whose tag says which."""
+    none = np.empty(0, np.int64)
+    return segments(lang, [], sorted(words), np.ones(len(words), np.int64), (none, none, none), tag, shards)
 
 
 def _index(shards: int, block_entries: int, slice_bytes: int):
@@ -139,62 +154,73 @@ def _index(shards: int, block_entries: int, slice_bytes: int):
                 for words in terms_of(data, slice_bytes):
                     block.add(lang, source, words)
                     seen.update(words)
-                    if len(seen) > block_entries:
+                    if len(seen) > block_entries or block.entries > 2 * block_entries:
                         # a document with very many terms is counted by its tag when runs are merged
-                        yield from segments(lang, [], ((w, 1, []) for w in sorted(seen)), base + row, shards)
+                        yield from _tagged(lang, seen, base + row, shards)
+                        block.seen(lang, seen, 0)
                         seen, parted = set(), True
-                    if block.entries > block_entries:
                         yield from block.run()
                 if parted:
-                    yield from segments(lang, [], ((w, 1, []) for w in sorted(seen)), base + row, shards)
-                else:
-                    block.seen(lang, seen)
+                    yield from _tagged(lang, seen, base + row, shards)
+                block.seen(lang, seen, 0 if parted else 1)
+                if block.entries > block_entries:
+                    yield from block.run()
         yield from block.run()
 
     return run
 
 
-def _opened(row: tuple) -> Iterator[tuple]:
-    """(term, tag, number of documents, [(source, count)]) of a segment, in order."""
-    _, _, _, terms, tag, docs, widths, places, counts, sources = row
-    docs, widths = np.frombuffer(docs, np.int64).tolist(), np.frombuffer(widths, np.int32).tolist()
-    places, counts = np.frombuffer(places, np.int32).tolist(), np.frombuffer(counts, np.int64).tolist()
-    at = 0
-    for word, n, width in zip(terms.split(b" "), docs, widths, strict=True):
-        yield word, tag, n, [(sources[p], c) for p, c in zip(places[at : at + width], counts[at : at + width], strict=True)]
-        at += width
+class _Segment:
+    """A segment that is being merged."""
+
+    __slots__ = ("terms", "docs", "ends", "places", "counts", "sources")
 
+    def __init__(self, row: tuple):
+        _, _, _, terms, _, docs, widths, places, counts, self.sources = row
+        self.terms, self.docs = terms.split(b" "), np.frombuffer(docs, np.int64).tolist()
+        self.ends = np.cumsum(np.frombuffer(widths, np.int32))
+        self.places, self.counts = np.frombuffer(places, np.int32), np.frombuffer(counts, np.int64)
 
-def merged(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """(lang, term, documents, {source: count}) from segments sorted by shard, language and first term."""
+    def postings(self, at: int) -> Iterator[tuple[str, int]]:
+        part = slice(self.ends[at - 1] if at else 0, self.ends[at])
+        return zip([self.sources[p] for p in self.places[part].tolist()], self.counts[part].tolist(), strict=True)
+
+
+def merged(rows: Iterator[tuple], min_docs: int = 1) -> Iterator[tuple]:
+    """(lang, term, documents, {source: count}) of terms in at least ``min_docs`` documents.
+
+    ``rows`` are segments sorted by shard, language and first term.
+    """
     heap, part, number = [], None, 0
 
     def drained(limit: bytes | None):
         while heap and (limit is None or heap[0][0] < limit):
-            word, total, last, sums = heap[0][0], 0, 0, {}
+            word, total, last, found = heap[0][0], 0, 0, []
             while heap and heap[0][0] == word:
-                _, tag, place, docs, postings, rest = heap[0]
+                _, tag, place, at, segment = heap[0]
                 # entries of one document have one tag and follow each other
-                total += docs if tag == 0 or tag != last else 0
+                if tag == 0 or tag != last:
+                    total += segment.docs[at]
                 last = tag
-                for source, n in postings:
-                    sums[source] = sums.get(source, 0) + n
-                following = next(rest, None)
-                if following is None:
-                    heapq.heappop(heap)
+                found.append((segment, at))
+                if at + 1 < len(segment.terms):
+                    heapq.heapreplace(heap, (segment.terms[at + 1], tag, place, at + 1, segment))
                 else:
-                    heapq.heapreplace(heap, (following[0], tag, place, following[2], following[3], rest))
-            yield part[1], word, total, sums
+                    heapq.heappop(heap)
+            if total >= min_docs:
+                sums: dict[str, int] = {}
+                for segment, at in found:
+                    for source, n in segment.postings(at):
+                        sums[source] = sums.get(source, 0) + n
+                yield part[1], word, total, sums
 
     for row in rows:
         if part != row[:2]:
             yield from drained(None)
             part = row[:2]
         yield from drained(row[2])
-        rest = _opened(row)
-        word, tag, docs, postings = next(rest)
         number += 1
-        heapq.heappush(heap, (word, tag, number, docs, postings, rest))
+        heapq.heappush(heap, (row[2], row[4], number, 0, _Segment(row)))
     yield from drained(None)
 
 
@@ -206,12 +232,11 @@ def _merge(min_docs: int):
                     yield tuple(c[i].as_py() for c in batch.columns)
 
         out = []
-        for lang, word, docs, sums in merged(rows()):
-            if docs >= min_docs:
-                out.append((lang, word.decode(), docs, list(sums), list(sums.values())))
-                if len(out) >= 2048:
-                    yield _batch(FREQUENCIES, out)
-                    out = []
+        for lang, word, docs, sums in merged(rows(), min_docs):
+            out.append((lang, word.decode(), docs, list(sums), list(sums.values())))
+            if len(out) >= 2048:
+                yield _batch(FREQUENCIES, out)
+                out = []
         if out:
             yield _batch(FREQUENCIES, out)
 
@@ -259,21 +284,30 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles.clear()
 
     for batch in batches:
-        for lang, postings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        postings = batch.column(1)
+        flat = postings.flatten()
+        ends = np.cumsum(pc.list_value_length(postings).to_numpy(zero_copy_only=False))
+        coded = pc.dictionary_encode(flat.field("source"))
+        codes, spelled = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        shares, absent = flat.field("p").to_numpy(), flat.field("p0").to_numpy()
+        begin = 0
+        for lang, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
             known, listed = places.setdefault(lang, {}), names.setdefault(lang, [])
-            for entry in postings:
-                if entry["source"] not in known:
-                    known[entry["source"]] = len(listed)
-                    listed.append(entry["source"])
-            place = np.array([known[e["source"]] for e in postings])
+            some, begin = slice(begin, end), end
+            place = np.empty(end - some.start, np.int64)
+            for x, code in enumerate(codes[some].tolist()):
+                source = spelled[code]
+                if source not in known:
+                    known[source] = len(listed)
+                    listed.append(source)
+                place[x] = known[source]
             order = np.argsort(place)
-            place = place[order]
-            p = np.array([e["p"] for e in postings], np.int64)[order]
-            none = np.array([e["p0"] for e in postings], np.int64)[order]
+            place, p, none = place[order], shares[some][order], absent[some][order]
             block = place // TILE
             cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(place)]
-            for x, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                for k, m in list(zip(cuts, cuts[1:], strict=False))[x:]:
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            for x, (i, j) in enumerate(spans):
+                for k, m in spans[x:]:
                     a, b = p[i:j, None], p[None, k:m]
                     a0, b0 = none[i:j, None], none[None, k:m]
                     extra = abs(a - b) - abs(a - b0) - abs(a0 - b) + abs(a0 - b0)
@@ -282,7 +316,7 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if len(tiles) >= TILES_HELD:
                             yield from flushed()
                         tiles[key] = np.zeros((TILE, TILE), np.int64)
-                    tiles[key][np.ix_(place[i:j] % TILE, place[k:m] % TILE)] += extra
+                    tiles[key][place[i:j, None] % TILE, place[None, k:m] % TILE] += extra
     yield from flushed()
 
 

@@ -154,16 +154,18 @@ def test_merge_of_many_runs():
     for run in range(40):
         tag = 0 if run % 4 else 1 + run // 8
         picked = sorted(rnd.sample(known, 20))
-        terms = [(w, 1 if tag else rnd.randrange(4), [] if tag else [(rnd.randrange(3), rnd.randrange(1, 9))]) for w in picked]
-        for w, n, postings in terms:
+        in_docs = np.array([1 if tag else rnd.randrange(4) for _ in picked])
+        postings = [] if tag else [(x, rnd.randrange(3), rnd.randrange(1, 9)) for x in rnd.sample(range(20), 20)]
+        for w, n in zip(picked, in_docs.tolist(), strict=True):
             docs[w] += 0 if tag else n
-            for i, c in postings:
-                counts[w, f"s{i}"] += c
-        for batch in divergence.segments("en", ["s0", "s1", "s2"], terms, tag, 3):
+        for x, i, c in postings:
+            counts[picked[x], f"s{i}"] += c
+        arrays = tuple(np.array(postings, np.int64).reshape(-1, 3).T)
+        for batch in divergence.segments("en", ["s0", "s1", "s2"], picked, in_docs, arrays, tag, 3):
             runs += [tuple(r.values()) for r in batch.to_pylist()]
         docs.update({(w, tag): 1 for w in picked if tag and not docs[w, tag]})
     runs.sort(key=lambda r: r[:3])
-    found = {w: (n, sums) for _, w, n, sums in divergence.merged(iter(runs))}
+    found = {w: (n, sums) for _, w, n, sums in divergence.merged(iter(runs), 0)}
     assert {(w, s): c for w, (_, sums) in found.items() for s, c in sums.items()} == dict(counts)
     whole = {w: docs[w] + sum(n for t, n in docs.items() if isinstance(t, tuple) and t[0] == w) for w in found}
     assert {w: n for w, (n, _) in found.items()} == whole
