@@ -3,25 +3,30 @@
 A record with a large payload is written as segments (first record and continuations, as the WARC
 standard has them), so that writer, reader and digest hold one chunk at a time, never a whole record.
 Archives are written and read by Spark's own text source and therefore in any store that Spark knows.
-No chunk contains the version line that starts a record: payloads are cut inside each occurrence of it,
-so the version line separates records without ambiguity.
+No chunk contains the version line that starts a record or ends like one: payloads are cut inside each
+such place, and a URL has the slash of the version written as ``%2F``.  So the version line separates
+records without ambiguity.  Payloads move once, to meet their place in the plan of revisits; they are
+hashed again while an archive is read from its beginning to its end.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import encoded, kept_table, pieces, ready
+from newsloom.llm.common import kept_table, pieces, ready, views
 from newsloom.session import scratch_path
 
-VERSION = "WARC/1.1\r\n"  # fixed value of the format
-CHUNK_CHARS = 1 << 18
+# fixed values of the format
+VERSION = "WARC/1.1\r\n"
+HEAD_END = re.compile(rb"\r\n\r\n")
+CHUNK_BYTES = 1 << 18
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -60,28 +65,37 @@ def revisit_plan(pages: DataFrame, min_bytes: int = 0, id_col="page_id", payload
     )
 
 
-def _cut(payload: str, chunk_chars: int) -> Iterator[str]:
-    """Chunks of at most ``chunk_chars`` that never contain the version line."""
+MARKER = re.compile(re.escape(VERSION.encode()))
+OPEN_MARKER = VERSION.rstrip().encode()
+
+
+def _cut(payload: memoryview, chunk_bytes: int) -> Iterator[memoryview]:
+    """Chunks of at most ``chunk_bytes``, whole characters each, without a version line inside or begun at the end."""
     at = 0
     while at < len(payload):
-        end = min(len(payload), at + chunk_chars)
-        marker = payload.find(VERSION, at, end)
-        if marker >= 0:
-            end = marker + 4
+        end = min(len(payload), at + chunk_bytes)
+        while end < len(payload) and end > at + 4 and payload[end] & 0xC0 == 0x80:
+            end -= 1
+        marker = MARKER.search(payload, at, end)
+        if marker:
+            end = marker.start() + 4
+        elif payload[at:end][-len(OPEN_MARKER) :] == OPEN_MARKER:
+            end -= 4
         yield payload[at:end]
         at = end
 
 
-def _record_kernel(chunk_chars: int):
+def _record_kernel(chunk_bytes: int):
     """Text of the archive records of a page, one row per segment, with the digest carried along."""
 
-    def block(lines: list[str], body: str, size: int) -> str:
+    def block(lines: list[str], body: bytes, size: int) -> bytes:
         # the text source adds the last line feed
-        return VERSION + "\r\n".join([*lines, f"Content-Length: {size}"]) + "\r\n\r\n" + body + "\r\n\r"
+        head = VERSION + "\r\n".join([*lines, f"Content-Length: {size}"]) + "\r\n\r\n"
+        return b"".join([head.encode(), body, b"\r\n\r"])
 
-    def records(name, url, payload, digest, n_bytes, kind, refers_to) -> Iterator[str]:
+    def records(page_id, url, payload, digest, n_bytes, kind, refers_to) -> Iterator[bytes]:
         # id and payload name a record; the number of the page comes first
-        page_id, name = name, f"<urn:page:{name}:{digest}>"
+        name = f"<urn:page:{page_id}:{digest}>"
         common = [f"WARC-Target-URI: {url}"] if url else []
         if kind == "revisit":
             yield block(
@@ -90,17 +104,16 @@ def _record_kernel(chunk_chars: int):
                     f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>", f"WARC-Payload-Digest: sha1:{digest}",
                     f"X-Payload-Length: {n_bytes}", "WARC-Segment-Number: 1",
                 ],
-                "", 0,
+                b"", 0,
             )
             return
         number, sha = 0, hashlib.sha1()
-        parts = _cut(payload, chunk_chars)
-        chunk = next(parts, "")
-        while True:
+        parts = _cut(payload, chunk_bytes)
+        chunk = next(parts, memoryview(b""))
+        while chunk is not None:
             number += 1
             following = next(parts, None)
-            raw = chunk.encode()
-            sha.update(raw)
+            sha.update(chunk)
             head = [
                 f"WARC-Type: {'response' if number == 1 else 'continuation'}",
                 f"WARC-Record-ID: {name if number == 1 else f'<urn:page:{page_id}:{digest}:{number}>'}",
@@ -110,34 +123,36 @@ def _record_kernel(chunk_chars: int):
             if following is None:
                 head.append(f"WARC-Segment-Total-Length: {n_bytes}")
                 head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(sha.digest()).decode()}")
-            yield block(head, chunk, len(raw))
-            if following is None:
-                return
+            yield block(head, chunk, len(chunk))
             chunk = following
 
+    def batch_of(rows: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()).cast(pa.string())], ["value"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 64):
             rows, held = [], 0
-            for i in range(batch.num_rows):
-                name, url, payload, digest, n_bytes, kind, refers_to = (c[i].as_py() for c in batch.columns)
+            small = zip(*(batch.column(c).to_pylist() for c in ("name", "url", "digest", "payload_bytes", "record_type", "refers_to")), strict=True)
+            for (name, url, digest, n_bytes, kind, refers_to), payload in zip(small, views(batch.column("payload")), strict=True):
                 # a header is one line
-                for text in records(name, "".join((url or "").split()), payload or "", digest, n_bytes, kind, refers_to):
-                    rows.append(text)
-                    held += len(text)
+                line = "".join((url or "").split()).replace(OPEN_MARKER.decode(), OPEN_MARKER.decode().replace("/", "%2F"))
+                for segment in records(name, line, payload, digest, n_bytes, kind, refers_to):
+                    rows.append(segment)
+                    held += len(segment)
                     if held > 1 << 23:
-                        yield pa.RecordBatch.from_arrays([pa.array(rows)], ["value"])
+                        yield batch_of(rows)
                         rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(rows)], ["value"])
+                yield batch_of(rows)
 
     return run
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes=0, chunk_chars=CHUNK_CHARS, id_col="page_id", url_col="url", payload_col="html") -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes=0, chunk_bytes=CHUNK_BYTES, id_col="page_id", url_col="url", payload_col="html") -> None:
     """Writes one record per page (and its continuations) as gzip archives below ``path``.
 
     A null payload is written as an empty one, a null URL without its header; pages without id are named
-    ``None``.  Rows that repeat id and payload are one page.  Further columns are not written.
+    ``None``.  Rows that repeat id and payload have a record each.  Further columns are not written.
     """
     plan = revisit_plan(pages, min_bytes, id_col, payload_col).distinct()
     plan = plan.withColumn("name", _name(F.col("page_id"))).withColumnRenamed("payload_digest", "digest")
@@ -147,10 +162,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes=0, chunk_chars=CHUNK_C
         F.col(url_col).alias("url"),
         F.col(payload_col).alias("payload"),
     )
-    matched = body.dropDuplicates(["name", "digest"]).join(plan, ["name", "digest"])
+    # dealt alike at every size: a page and its line of the plan have one key
+    matched = body.join(plan.hint("shuffle_merge"), ["name", "digest"])
     needed = F.when(F.col("record_type") == "response", F.col("payload"))
     rows = matched.select("name", "url", needed.alias("payload"), "digest", "payload_bytes", "record_type", "refers_to")
-    rows.mapInArrow(_record_kernel(chunk_chars), "value string").write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    rows.mapInArrow(_record_kernel(chunk_bytes), "value string").write.option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -173,11 +189,11 @@ def _parse_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     for batch in pieces(batches, 64):
         rows = []
-        for raw in encoded(batch.column(0)):
-            head, _, rest = raw.partition(b"\r\n\r\n")
-            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n") if ": " in line)
-            size = int(fields["Content-Length"])
-            if rest[size:].strip(b"\r\n"):
+        for raw in views(batch.column(0)):
+            ends = HEAD_END.search(raw)
+            fields = dict(line.split(": ", 1) for line in bytes(raw[: ends.start()]).decode().split("\r\n") if ": " in line)
+            size, rest = int(fields["Content-Length"]), raw[ends.end() :]
+            if bytes(rest[size:]).strip(b"\r\n"):
                 raise ValueError(f"record {fields.get('WARC-Record-ID')} is longer than its Content-Length")
             if len(rest) < size:
                 raise ValueError(f"record {fields.get('WARC-Record-ID')} is shorter than its Content-Length")
@@ -191,7 +207,7 @@ def _parse_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     fields.get("WARC-Target-URI"),
                     fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None,
                     int(total) if total is not None else None,
-                    rest[:size],
+                    bytes(rest[:size]),
                 )
             )
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -200,12 +216,11 @@ def _parse_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def record_digests(chunks: DataFrame) -> DataFrame:
     """(record_id, record_type, refers_to, payload_bytes, payload_digest) of every record.
 
-    Chunks meet in order of their number, and the digest is updated chunk by chunk.  Records are the
-    keys, so no key holds more than one payload.
+    ``chunks`` come straight from ``read_chunks``: an archive is one split, in which continuations follow
+    their record, so the digest is updated chunk by chunk and nothing is shuffled.
     """
     columns = ["record_id", "chunk_no", "record_type", "refers_to", "payload_digest", "total_bytes", "content"]
-    ordered = chunks.select(*columns).repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
-    return ordered.mapInArrow(
+    return chunks.select(*columns).mapInArrow(
         _digest_kernel,
         "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string",
     )
@@ -214,7 +229,7 @@ def record_digests(chunks: DataFrame) -> DataFrame:
 def _digest_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
     types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
-    now, sha, size, told = None, None, 0, None
+    now, last, sha, size, told = None, 0, None, 0, None
 
     def closed():
         record_id, kind, refers_to = now
@@ -227,12 +242,15 @@ def _digest_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         rows = []
-        heads = zip(*(batch.column(i).to_pylist() for i in range(6)), encoded(batch.column(6)), strict=True)
+        heads = zip(*(batch.column(i).to_pylist() for i in range(6)), views(batch.column(6)), strict=True)
         for record_id, number, kind, refers_to, digest, total, content in heads:
             if number == 1:
                 if now is not None:
                     rows.append(closed())
                 now, sha, size = (record_id, kind, refers_to), hashlib.sha1(), 0
+            elif now is None or record_id != now[0] or number != last + 1:
+                raise ValueError(f"segment {number} of record {record_id} does not follow the one before")
+            last = number
             sha.update(content)
             size += len(content)
             told = (digest, total)
@@ -246,15 +264,15 @@ def page_number(name: Column) -> Column:
     return F.regexp_extract(name, r"^<urn:page:(-?[0-9]+):", 1).try_cast("long")
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 0, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def round_trip(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Writes all pages, reads the archives back and says per page what was found there.
 
-    A revisit has size and digest of the payload it refers to.  Rows that repeat id and payload are one
-    page; a page without id comes back without id; an empty table gives an empty result.
+    A revisit has size and digest of the payload it refers to.  Rows that repeat id and payload
+    come back as often; a page without id comes back without id; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "llm-warc")
-    write_archives(pages, path, min_bytes, chunk_chars)
+    write_archives(pages, path, min_bytes, chunk_bytes)
     return record_digests(read_chunks(spark, path)).select(
         page_number(F.col("record_id")).alias("page_id"),
         "payload_bytes",

@@ -247,12 +247,16 @@ def test_redaction(spark):
     assert {r.doc_id: r.t for r in rows} == {1: "to <EMAIL>, card <CARD>!", 2: "none", 3: None}
 
 
-@pytest.mark.parametrize(("min_bytes", "chunk"), [(0, 7), (20, 1 << 18)])
+@pytest.mark.parametrize(("min_bytes", "chunk"), [(0, 7), (0, 8), (0, 15), (20, 1 << 18)])
 def test_archives(spark, min_bytes, chunk):
     marker = "x WARC/1.1\r\nWARC/1.1\r\n\r\n\r\n"
     rows = [(1, "http://a/", "<p>äö</p>"), (2, None, "<p>äö</p>"), (3, "u\r\nv", marker), (4, "w", None), (5, "w", ""), (6, "v", "line\n\r\n\n"), (7, "v", "y" * 500 + marker), (8, "q", marker), (None, "n", "no id"), (6, "v", "line\n\r\n\n")]
+    # payloads, chunks and URLs that end like the version line or go on with one
+    rows += [(9, "http://x/WARC/1.1", "ends in WARC/1.1"), (10, "WARC/1.1", "WARC/1.1\r"), (11, "a WARC/1.1", "WARC/1.1"), (12, "z", "WARC/1.1" * 9 + "\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS record_type").repartition(3)
-    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages, min_bytes, chunk).collect()}
+    back = warc.round_trip(pages, min_bytes, chunk).collect()
+    assert sorted(r.page_id or 0 for r in back) == sorted(r[0] or 0 for r in rows)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back}
     last = {}
     for page_id, _, html in rows:
         if page_id:
@@ -270,7 +274,8 @@ def test_archives(spark, min_bytes, chunk):
 def test_chunks_are_bounded_and_whole(spark):
     text = "é" * 1000 + "WARC/1.1\r\n" + "z" * 1000
     path = scratch_path(spark, "test-warc")
-    warc.write_archives(spark.createDataFrame([(1, "u", text)], "page_id long, url string, html string"), path, chunk_chars=300)
+    warc.write_archives(spark.createDataFrame([(1, "u", text)], "page_id long, url string, html string"), path, chunk_bytes=300)
     chunks = sorted(warc.read_chunks(spark, path).collect(), key=lambda r: r.chunk_no)
     assert b"".join(bytes(c.content) for c in chunks).decode() == text
-    assert max(len(c.content.decode()) for c in chunks) <= 300 and {c.record_type for c in chunks} == {"response", "continuation"}
+    assert all(c.content.decode() for c in chunks) and max(len(c.content) for c in chunks) <= 300
+    assert {c.record_type for c in chunks} == {"response", "continuation"}
