@@ -1,8 +1,8 @@
 """Byte-balanced shards of indivisible groups by Karmarkar-Karp differencing.
 
 Equal texts form a group that must not be split.  Groups are dealt into blocks; each block is divided by
-differencing: partial partitions (vectors of shard sizes) are combined two at a time, always the two with
-the largest spread, one in falling and one in rising order of its sizes.  A divided block is again one
+differencing: every group starts as a partial partition (a vector of shard sizes), and these are combined
+two at a time, always the two with the largest spread, one in falling and one in rising order of its sizes.  A divided block is again one
 partial partition, so blocks are combined by the same rule, level by level with a bounded number of
 blocks per task, until one partition of all groups is left.  Only vectors of shard sizes go up, and only
 permutations come down.
@@ -69,16 +69,12 @@ def difference(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def divide(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Shard of every size, and the sizes of the shards, by differencing.
 
-    The sorted sizes start as partial partitions of one group per shard each.
+    Every group starts as a partial partition of its own, with all its bytes in one shard.
     """
-    order = np.argsort(-sizes, kind="stable")
-    rows = max(1, -(-len(sizes) // shards))
-    padded = np.zeros(rows * shards, np.int64)
-    padded[: len(sizes)] = sizes[order]
-    places, totals = difference(padded.reshape(rows, shards))
-    out = np.empty(len(sizes), np.int32)
-    out[order] = places.reshape(-1)[: len(sizes)]
-    return out, totals
+    alone = np.zeros((max(1, len(sizes)), shards), np.int64)
+    alone[: len(sizes), 0] = sizes
+    places, totals = difference(alone)
+    return places[: len(sizes), 0], totals
 
 
 def _grouped(kernel, first: str):

@@ -1,8 +1,9 @@
 """BPE, packing, sharding against the installed tokenizer and direct checks."""
 
+import itertools
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -145,6 +146,37 @@ def test_differencing(sizes, shards):
     assert totals.max() - totals.min() <= max(sizes)
 
 
+def greedy(sizes, shards):
+    totals = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        totals[totals.index(min(totals))] += size
+    return totals
+
+
+def test_differencing_against_greedy_and_optimum(sf_dir):
+    rnd = np.random.default_rng(8)
+    for _ in range(30):
+        sizes = rnd.integers(1, 60, rnd.integers(1, 8))
+        _, totals = sharding.divide(sizes, 3)
+        least = min(np.bincount(p, sizes, 3).max() for p in itertools.product(range(3), repeat=len(sizes)))
+        assert least <= totals.max() <= 4 / 3 * least
+    for sizes in (rnd.lognormal(6, 1.2, 5000).astype(np.int64), rnd.integers(16, 4000, 3000)):
+        _, totals = sharding.divide(sizes, 40)
+        assert np.ptp(totals) <= np.ptp(greedy(sizes.tolist(), 40))
+
+
+def test_shards_of_documents_are_level(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    groups = Counter()
+    for r in docs.collect():
+        groups[r.text] += len((r.text or "").encode()) + 16
+    for block in (sharding.BLOCK_GROUPS, 200):
+        totals = Counter()
+        for r in sharding.shard_documents(docs, 40, block_groups=block, fan_in=3).collect():
+            totals[r.shard] += r["size"]
+        assert len(totals) == 40 and np.ptp(list(totals.values())) <= np.ptp(greedy(groups.values(), 40))
+
+
 @pytest.mark.parametrize("block", [4, 1000])
 def test_shards(small, block):
     rows = sharding.shard_documents(small, 4, block_groups=block, fan_in=2).collect()
