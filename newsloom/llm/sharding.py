@@ -1,11 +1,13 @@
 """Byte-balanced shards of indivisible groups by Karmarkar-Karp differencing.
 
-Equal texts form a group that must not be split.  Groups are dealt into blocks; each block is divided by
-differencing: every group starts as a partial partition (a vector of shard sizes), and these are combined
-two at a time, always the two with the largest spread, one in falling and one in rising order of its sizes.  A divided block is again one
-partial partition, so blocks are combined by the same rule, level by level with a bounded number of
-blocks per task, until one partition of all groups is left.  Only vectors of shard sizes go up, and only
-permutations come down.
+Equal texts form a group that must not be split.  Every unit starts as a partial partition (a vector of
+shard sizes) with all its bytes in one shard; partial partitions are combined two at a time, always the
+two with the largest spread, one in falling and one in rising order of its sizes, until one is left.
+
+The units are a bounded number at every size of the table: each group that holds a fair part of a shard is
+a unit, and there can be only so many of these; the groups that are too small for that are bundled by the
+hash of their text.  Few enough groups are all units.  Differencing therefore is one small task, its result
+is joined to the rows by a broadcast of known size, and no row is shuffled by the hash of its text.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import bucket_of, buckets_for, crc32_of, kept_table, ready
 
 OVERHEAD = 16  # fixed value: bytes that every document costs beside its text
-BLOCK_GROUPS = 8_192
-FAN_IN = 512
+BUNDLES = 16_384
+DIGEST_BYTES = 32
+UNITS_A_SHARD = 256  # a group of more than this part of a mean shard is a unit of its own
 
 
 def difference(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,94 +80,40 @@ def divide(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return places[: len(sizes), 0], totals
 
 
-def _grouped(kernel, first: str):
-    """Runs ``kernel`` on each run of equal ``first`` values of sorted input."""
-
+def _divide(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            keys = batch.column(first).to_numpy()
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            for start, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                part = batch.slice(start, end - start)
-                if held and held[-1].column(first)[0] != part.column(first)[0]:
-                    yield kernel(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                held.append(part)
-        if held:
-            yield kernel(pa.Table.from_batches(held).combine_chunks())
+        units = pa.Table.from_batches(list(batches), pa.schema([("unit", pa.binary()), ("size", pa.int64())]))
+        places, _ = divide(units.column("size").to_numpy(), shards)
+        for part in units.append_column("shard", pa.array(places, pa.int32())).drop_columns("size").to_batches():
+            yield part
 
     return run
 
 
-def _divide_block(shards: int):
-    def kernel(part: pa.Table) -> pa.RecordBatch:
-        place, _ = divide(part.column("size").to_numpy(), shards)
-        return pa.RecordBatch.from_arrays(
-            [part.column(c).combine_chunks() for c in ("block", "digest", "size")] + [pa.array(place)],
-            ["block", "digest", "size", "place"],
-        )
-
-    return kernel
-
-
-def _combine_blocks(shards: int):
-    def kernel(part: pa.Table) -> pa.RecordBatch:
-        sizes = np.array(part.column("sizes").to_pylist(), np.int64).reshape(-1, shards)
-        places, totals = difference(sizes)
-        n = len(sizes)
-        return pa.RecordBatch.from_arrays(
-            [
-                part.column("block").combine_chunks(),
-                part.column("above").combine_chunks(),
-                pa.array(list(places), pa.list_(pa.int32())),
-                pa.array([totals.tolist()] * n, pa.list_(pa.int64())),
-            ],
-            ["block", "above", "places", "totals"],
-        )
-
-    return kernel
-
-
-def group_shards(groups: DataFrame, shards: int, block_groups: int = BLOCK_GROUPS, fan_in: int = FAN_IN) -> DataFrame:
-    """(digest, shard) for ``groups`` (digest, size): near equal sums of sizes."""
-    n_groups = groups.count()
-    blocks = max(1, -(-n_groups // block_groups))
-    dealt = groups.withColumn("block", bucket_of(blocks, "digest")).repartition("block").sortWithinPartitions("block", "digest")
-    placed = dealt.mapInArrow(
-        _grouped(_divide_block(shards), "block"), "block int, digest binary, size long, place int"
-    )
-    placed = kept_table(placed, "placed")
-    sums = placed.groupBy("block", "place").agg(F.sum("size").alias("size"))
-    pairs = F.collect_list(F.struct("place", "size"))  # at most one pair per shard
-    by_place = F.map_from_entries(pairs)
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.coalesce(F.element_at(F.col("by_place"), i), F.lit(0))
-    )
-    level = sums.groupBy("block").agg(by_place.alias("by_place")).select("block", vector.alias("sizes"))
-    shard = placed.select("digest", "block", F.col("place").alias("shard"))
-    while blocks > 1:
-        above = -(-blocks // fan_in)
-        ordered = level.withColumn("above", (F.col("block") / fan_in).cast("int")).repartition("above")
-        combined = ordered.sortWithinPartitions("above", "block").mapInArrow(
-            _grouped(_combine_blocks(shards), "above"),
-            "block int, above int, places array<int>, totals array<long>",
-        )
-        combined = kept_table(combined, "level")
-        moved = combined.select(F.col("block").alias("from_block"), "above", "places")
-        shard = shard.join(moved, F.col("block") == F.col("from_block")).select(
-            "digest", F.col("above").alias("block"), F.get("places", F.col("shard")).alias("shard")
-        )
-        level = combined.groupBy(F.col("above").alias("block")).agg(F.first("totals").alias("sizes"))
-        blocks = above
-    return shard.select("digest", "shard")
+def unit_shards(groups: DataFrame, shards: int, bundles: int = BUNDLES) -> tuple[DataFrame, DataFrame]:
+    """Units of ``groups`` (digest, size) and their shards: (digests that are units), (unit, shard).
+
+    The first has at most ``bundles`` or 256 rows a shard, the second at most ``bundles`` more.
+    """
+    n_groups, total = groups.agg(F.count("*"), F.sum("size")).first()
+    fair = 0 if n_groups <= bundles else total / (shards * UNITS_A_SHARD)
+    units = groups.select(F.when(F.col("size") > fair, F.col("digest")).otherwise(_bundle(bundles)).alias("unit"), "size")
+    units = units.groupBy("unit").agg(F.sum("size").alias("size"))
+    # one task for a bounded number of units, in an order that depends on nothing but the texts
+    placed = units.repartition(1).sortWithinPartitions("unit").mapInArrow(_divide(shards), "unit binary, shard int")
+    placed = kept_table(placed, "units")
+    return placed.where(F.length("unit") == DIGEST_BYTES).select(F.col("unit").alias("digest")), placed
+
+
+def _bundle(bundles: int) -> Column:
+    return bucket_of(bundles, "digest").cast("string").cast("binary")
 
 
 def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, id_col="doc_id", text_col="text", block_groups=BLOCK_GROUPS, fan_in=FAN_IN) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, id_col="doc_id", text_col="text", bundles=BUNDLES) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, shard, slot.
 
     The size is the UTF-8 length of the text plus 16.  A null text has no bytes and belongs to the group
@@ -179,7 +128,11 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col="doc_id", text_col
     )
     rows = kept_table(rows.withColumn("bucket", bucket_of(n, "doc_id", "digest")), "sized")
     groups = rows.groupBy("digest").agg(F.sum("size").alias("size"))
-    placed = rows.join(group_shards(groups, shards, block_groups, fan_in), "digest")
+    alone, placed = unit_shards(kept_table(groups, "groups"), shards, bundles)
+    # both sides are bounded by parameters
+    units = rows.join(F.broadcast(alone.withColumn("_alone", F.lit(True))), "digest", "left")
+    units = units.withColumn("unit", F.when(F.col("_alone"), F.col("digest")).otherwise(_bundle(bundles))).drop("_alone")
+    placed = units.join(F.broadcast(placed), "unit").drop("unit")
     # slots: every bucket of ids numbers its own rows, then starts after those before it
     order = W.partitionBy("shard", "bucket").orderBy("doc_id", "digest")
     numbered = kept_table(placed.withColumn("_row", F.row_number().over(order) - 1), "numbered")

@@ -170,16 +170,18 @@ def test_shards_of_documents_are_level(spark, sf_dir):
     groups = Counter()
     for r in docs.collect():
         groups[r.text] += len((r.text or "").encode()) + 16
-    for block in (sharding.BLOCK_GROUPS, 200):
+    # all groups are units; groups are bundled, and only the largest are units
+    for bundles in (sharding.BUNDLES, 300):
         totals = Counter()
-        for r in sharding.shard_documents(docs, 40, block_groups=block, fan_in=3).collect():
+        for r in sharding.shard_documents(docs, 40, bundles=bundles).collect():
             totals[r.shard] += r["size"]
         assert len(totals) == 40 and np.ptp(list(totals.values())) <= np.ptp(greedy(groups.values(), 40))
 
 
-@pytest.mark.parametrize("block", [4, 1000])
-def test_shards(small, block):
-    rows = sharding.shard_documents(small, 4, block_groups=block, fan_in=2).collect()
+@pytest.mark.parametrize("bundles", [4, 1000])
+def test_shards(small, bundles, monkeypatch):
+    monkeypatch.setattr(sharding, "UNITS_A_SHARD", 2)
+    rows = sharding.shard_documents(small, 4, bundles=bundles).collect()
     assert len(rows) == small.count()
     slots, shard_of = defaultdict(list), defaultdict(set)
     texts = {r.doc_id: r.text for r in small.collect()}
