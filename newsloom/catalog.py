@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom import fixtures as X
 from newsloom.functions import boosts, text, urls
-from newsloom.operators import centroids, coverage, dedup, fuzzy, html, rerank, retrieval
+from newsloom.operators import ann, centroids, coverage, dedup, fuzzy, html, rerank, retrieval
 from newsloom.operators import tiles as T
 from newsloom.operators.features import SPARSE_KINDS, feature_table, similarity_texts, tfidf_weights, with_gazetteer
 from newsloom.plans import daily, ingest
@@ -434,6 +434,29 @@ def vector_topk(spark, sf_dir):
     return best.select("qid", "id", r6("score").alias("score"), "rank")
 
 
+def _nearest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every fiftieth article against all by the index: query vectors and hits."""
+    vectors = X.articles(spark, sf_dir).select("doc_id", "id", F.col("title_embedding").alias("vector"))
+    vectors = materialise(vectors, "title-vectors")
+    index = ann.build_index(vectors, scratch_path(spark, "vector-index"))
+    asked = vectors.where(F.col("doc_id") % 50 == 0).select(F.col("id").alias("qid"), "vector")
+    return vectors, materialise(ann.search(index, asked, k=10), "vector-hits")
+
+
+@query
+def vector_ann(spark, sf_dir):
+    _, found = _nearest(spark, sf_dir)
+    return found.select("qid", "id", r6("score").alias("score"), "rank")
+
+
+@query
+def vector_ann_recall(spark, sf_dir):
+    vectors, found = _nearest(spark, sf_dir)
+    asked = vectors.where(F.col("doc_id") % 50 == 0).select(F.col("id").alias("qid"), F.col("vector").alias("query_embedding"))
+    exact = retrieval.vector_topk(vectors.withColumnRenamed("vector", "title_embedding"), asked, k=10)
+    return ann.recall(found, exact).select("n_queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def _hits(spark, sf_dir, level: str, search_type: str = "timeline") -> DataFrame:
     queries = X.search_queries(spark, sf_dir, level, search_type)
     return S.search_hits(X.scored_articles(spark, sf_dir), queries, AS_OF)

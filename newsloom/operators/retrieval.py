@@ -215,7 +215,7 @@ def retrieve(
     return top_k(hits, limit)
 
 
-def _unit(column) -> np.ndarray:
+def unit_rows(column) -> np.ndarray:
     """Rows of an Arrow list column as vectors of length one."""
     values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     matrix = values.reshape(len(column), -1)
@@ -233,13 +233,13 @@ def _nearest_kernel(shared, k: int):
             if not batch.num_rows:
                 continue
             ids = np.array(batch.column("id").to_pylist(), object)
-            scores = np.round(asked @ _unit(batch.column("vector")).T, SCORE_DIGITS)
+            scores = np.round(asked @ unit_rows(batch.column("vector")).T, SCORE_DIGITS)
             for i, mine in enumerate(scores):
                 near = np.arange(len(mine))
                 if len(mine) > k:
                     near = np.flatnonzero(mine >= np.partition(mine, -k)[-k])
                 found, names = np.concatenate((best[i][0], mine[near])), np.concatenate((best[i][1], ids[near]))
-                first = sorted(range(len(found)), key=lambda j: (-found[j], names[j]))[:k]
+                first = np.lexsort((names.astype(str), -found))[:k]
                 best[i] = found[first], names[first]
         for start in range(0, len(qids), QUERY_BLOCK):
             part = range(start, min(start + QUERY_BLOCK, len(qids)))
@@ -273,7 +273,7 @@ def vector_topk(articles: DataFrame, queries: DataFrame, k: int, block: int = QU
     # a hash part has about `block` queries; larger ones are cut again
     for row in ranked.select("b", "part").distinct().orderBy("b", "part").collect():
         asked = ranked.where((F.col("b") == row["b"]) & (F.col("part") == row["part"])).select("qid", "vector").toArrow()
-        shared = context.broadcast((asked["qid"].to_pylist(), _unit(asked["vector"].combine_chunks())))
+        shared = context.broadcast((asked["qid"].to_pylist(), unit_rows(asked["vector"].combine_chunks())))
         found = vectors.mapInArrow(_nearest_kernel(shared, k), "qid string, id string, score double")
         best = found if best is None else best.unionByName(found)
     if best is None:

@@ -546,6 +546,7 @@ ORACLES: dict[str, str] = {
                 SELECT q.qid AS qid, a.id AS id, round(list_cosine_similarity(a.vec, q.qvec), 9) AS score
                 FROM articles a JOIN queries q ON a.vec IS NOT NULL AND q.qvec IS NOT NULL))
         WHERE place <= 10""",
+    "vector_ann_recall": "SELECT count(*) AS n_queries, true AS enough FROM articles WHERE vec IS NOT NULL AND CAST(id AS BIGINT) % 50 = 0",
     "stream_ingest": "SELECT DISTINCT normalized_url, lang AS language_code FROM built WHERE lang = 'en'",
     "stream_analysis": f"SELECT id, {CENTRALITY} FROM scores",
     "stream_day_counts": """

@@ -12,13 +12,14 @@ from newsloom.oracle.sql import ORACLES
 QUICK = (
     "url_normalize tokens entity_tokens char_ngrams lang_detect link_filter new_urls_per_file html_extract "
     "build_articles dedup_new writeback tfidf_weights similarity_threshold interval_similarity similar_articles "
-    "daily_analysis home_feed bm25_search vector_topk search_strict interleave stream_ingest stream_analysis "
+    "daily_analysis home_feed bm25_search vector_topk vector_ann_recall search_strict interleave stream_ingest stream_analysis "
     "stream_day_counts"
 ).split()
 
 
 def test_every_query_has_an_oracle():
-    assert set(REGISTRY) == set(ORACLES)
+    # approximate hits cannot be written in SQL; their recall is another query
+    assert set(REGISTRY) - {"vector_ann"} == set(ORACLES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
