@@ -12,11 +12,11 @@ from newsloom.functions import boosts, text, urls
 from newsloom.operators import ann, centroids, coverage, dedup, fuzzy, html, rerank, retrieval
 from newsloom.operators import tiles as T
 from newsloom.operators.features import SPARSE_KINDS, feature_table, similarity_texts, tfidf_weights, with_gazetteer
-from newsloom.plans import daily, ingest
+from newsloom.plans import daily, historical, ingest
 from newsloom.plans import search as S
 from newsloom.plans.home import home_feed
 from newsloom.schema import CENTRALITY_COLUMNS
-from newsloom.session import bounded_broadcast, materialise, prepare, scratch_path
+from newsloom.session import bounded_broadcast, materialise, prepare, scratch_path, spread
 from newsloom.sources import articles as store
 from newsloom.sources import links
 from newsloom.streaming import loops
@@ -141,11 +141,29 @@ def new_urls_per_file(spark, sf_dir):
     return links.new_urls_per_file(listed)
 
 
+@query
+def historical_urls(spark, sf_dir):
+    folder = X.link_dumps(spark, sf_dir)
+    domains = links.domain_names(X.domain_lines(spark, sf_dir))
+    start, end = X.table(spark, sf_dir, "events").agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    return historical.historical_urls(spark, folder, domains, str(start), str(end), skip_hours=12)
+
+
+@query
+def url_list_parts(spark, sf_dir):
+    """The list of addresses written, read back, and dealt in random order to eight folders."""
+    good, _ = links.split_lines(X.link_lines(spark, sf_dir))
+    listed, parts = scratch_path(spark, "url-list"), scratch_path(spark, "url-parts")
+    links.write_url_list(links.filter_links(good, links.domain_names(X.domain_lines(spark, sf_dir))), listed)
+    links.write_ordered_parts(links.read_url_list(spark, listed), parts, 8, seed=7)
+    dealt = spark.read.csv(parts, header=True)
+    return dealt.groupBy(F.col("part").cast("int").alias("part")).agg(F.count("*").alias("n"), F.countDistinct("url").alias("n_urls"))
+
+
 @query
 def source_tag(spark, sf_dir):
     articles = X.articles(spark, sf_dir)
-    english = X.table(spark, sf_dir, "documents").where(F.col("lang") == "en").groupBy("source").count()
-    sources = english.where(F.col("count") > 30).select(
+    sources = X.table(spark, sf_dir, "documents").select("source").distinct().select(
         F.upper("source").alias("source_name"),
         F.concat("source", F.lit(".example.com")).alias("normalized_domain"),
     )
@@ -212,17 +230,18 @@ def time_range_scan(spark, sf_dir):
 
 @query
 def writeback(spark, sf_dir):
+    """Three updates of some rows and some columns each; then the log is compacted."""
     articles = X.scored_articles(spark, sf_dir)
-    value = F.col("event_value")
+    value, day = F.col("event_value"), F.to_date("publish_date").alias("day")
     path = scratch_path(spark, "store")
     store.append_articles(articles, path)
-    updates = articles.where(value > 50).select(
-        F.to_date("publish_date").alias("day"),
-        "id",
-        (value / (value + 50)).alias("centrality_score_15"),
-        F.array(F.lit("centroid_k50")).alias("article_centroid_tags"),
-    )
-    store.write_back(spark, path, updates)
+    score, tags = (value / (value + 50)).alias("centrality_score_15"), F.array(F.lit("centroid_k50")).alias("article_centroid_tags")
+    store.write_back(spark, path, articles.where(value > 50).select(day, "id", score, tags), version=1)
+    later = (value / (value + 10)).alias("centrality_score_15")
+    store.write_back(spark, path, articles.where(value > 100).select(day, "id", later), version=2)
+    fewer = F.array(F.lit("centroid_k5")).alias("article_centroid_tags")
+    store.write_back(spark, path, articles.where((value > 30) & (value < 120)).select(day, "id", fewer), version=3)
+    store.compact_results(spark, path)
     return store.read_articles(spark, path).select(
         "id",
         r6("centrality_score_15").alias("centrality_score_15"),
@@ -523,6 +542,32 @@ def stream_ingest(spark, sf_dir):
     return store.read_articles(spark, table).select("normalized_url", "language_code")
 
 
+@query
+def stream_rejected(spark, sf_dir):
+    """Landed rows that cannot become articles, with the reason; a second start of the loop adds nothing."""
+    landing, table, state = (scratch_path(spark, x) for x in ("landing", "store", "state"))
+    parsed = X.parsed_documents(spark, sf_dir)
+    parsed = parsed.withColumn("title", F.when(F.col("order_key") % 7 != 0, F.col("title")))
+    parsed.write.parquet(landing)
+    for _ in range(2):
+        stream = loops.read_landing(spark, landing, parsed.schema, files_per_batch=4)
+        loops.stream_ingest(stream, table, state, ["en", "fr"], AS_OF, ["order_key"]).awaitTermination()
+    return loops.read_rejected(spark, table).select("normalized_url", "language_code", "reason")
+
+
+@query
+def stream_pages(spark, sf_dir):
+    """Landed web pages to articles with the name of their source."""
+    landing, table, state = (scratch_path(spark, x) for x in ("landing", "store", "state"))
+    pages = X.table(spark, sf_dir, "pages").select("url", "html")
+    spread(pages).write.parquet(landing)
+    sources = pages.select(urls.url_domain(F.col("url")).alias("normalized_domain")).distinct()
+    sources = sources.withColumn("source_name", F.upper("normalized_domain"))
+    stream = loops.read_landing(spark, landing, pages.schema, files_per_batch=3)
+    loops.stream_pages(stream, table, state, ["en", "de"], AS_OF, sources=sources).awaitTermination()
+    return store.read_articles(spark, table).select("normalized_url", "source_name", "language_code")
+
+
 @query
 def stream_analysis(spark, sf_dir):
     landing, table, state = (scratch_path(spark, x) for x in ("landing", "store", "state"))
@@ -537,9 +582,11 @@ def stream_analysis(spark, sf_dir):
 
 @query
 def stream_day_counts(spark, sf_dir):
-    log, state = scratch_path(spark, "counts"), scratch_path(spark, "state")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = loops.read_landing(spark, sf_dir, schema, pathGlobFilter="events.parquet")
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    loops.write_counts(loops.day_counts(stream, "ts", "event_type"), log, state).awaitTermination()
+    """Counts of landed events in several batches, summed up in between."""
+    landing, log, state = (scratch_path(spark, x) for x in ("landing", "counts", "state"))
+    events = X.table(spark, sf_dir, "events").select("ts", "event_type")
+    events.repartition(6).write.parquet(landing)
+    stream = loops.read_landing(spark, landing, events.schema, files_per_batch=2)
+    loops.stream_counts(stream, "ts", "event_type", log, state).awaitTermination()
+    loops.fold_counts(spark, log, "event_type")
     return loops.latest_counts(spark, log, "event_type").select(day_text(), "event_type", "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import first_words
 from newsloom.functions.urls import normalize_url, url_domain
-from newsloom.session import spread
+from newsloom.session import scratch_path, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,3 +127,17 @@ def domain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain list: the front pages of all sites that have an ``.html`` address."""
     pages = table(spark, sf_dir, "pages").where(F.col("url").endswith(".html"))
     return pages.select(F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), F.lit("/")).alias("value"))
+
+
+def link_dumps(spark: SparkSession, sf_dir: str) -> str:
+    """The link lines as gzip files of their names, one per hour, in a folder of their own."""
+    lines = link_lines(spark, sf_dir)
+    made, folder = scratch_path(spark, "dump-lines"), scratch_path(spark, "dumps")
+    lines.repartition("file_name").write.partitionBy("file_name").option("compression", "gzip").text(made)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(folder))
+    for status in system.globStatus(path(f"{made}/file_name=*/part-*")):
+        name = status.getPath().getParent().getName().removeprefix("file_name=")
+        system.rename(status.getPath(), path(f"{folder}/{name}"))
+    return folder

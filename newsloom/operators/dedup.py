@@ -22,11 +22,13 @@ def first_wins(batch: DataFrame, order_by: list[str | Column]) -> DataFrame:
 def dedup_new(batch: DataFrame, store: DataFrame, order_by: list[str | Column]) -> DataFrame:
     """Articles of the batch that the store does not have yet, first copy only.
 
-    The store streams past the addresses of the batch; only the addresses found there are compared.
+    The batch is evaluated once and written.  The store streams past its addresses; only the addresses
+    found there are compared.
     """
-    asked = materialise(batch.select("normalized_url").distinct(), "asked-urls")
+    fresh = materialise(first_wins(batch, order_by), "batch")
+    asked = fresh.select("normalized_url")
     known = store.select("normalized_url").join(bounded_broadcast(asked), "normalized_url", "left_semi").distinct()
-    return first_wins(batch, order_by).join(known, "normalized_url", "left_anti")
+    return fresh.join(known, "normalized_url", "left_anti")
 
 
 def distinct_ids(batch: DataFrame, store: DataFrame) -> DataFrame:

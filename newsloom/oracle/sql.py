@@ -456,10 +456,14 @@ ORACLES: dict[str, str] = {
         SELECT f.file_name AS file_name, count(s.url) AS n_new FROM (SELECT DISTINCT file_name FROM listed) f
         LEFT JOIN (SELECT url, min(file_name) AS file_name FROM listed GROUP BY url) s ON s.file_name = f.file_name
         GROUP BY f.file_name""",
-    "source_tag": """
-        SELECT id, CASE WHEN s.source IS NOT NULL THEN upper(s.source) END AS source_name FROM articles a
-        LEFT JOIN (SELECT source FROM documents WHERE lang = 'en' GROUP BY source HAVING count(*) > 30) s
-        ON s.source = a.source_name""",
+    "historical_urls": f"""
+        SELECT DISTINCT url, {link_domain('url')} AS domain_name FROM listed
+        WHERE url IS NOT NULL AND substr(file_name, 9, 2) IN ('00', '12')""",
+    "url_list_parts": """
+        SELECT CAST(i * 8 // n AS INT) AS part, count(*) AS n, count(*) AS n_urls
+        FROM (SELECT unnest(range(n)) AS i, n FROM (SELECT count(DISTINCT url) AS n FROM listed WHERE url IS NOT NULL))
+        GROUP BY part""",
+    "source_tag": "SELECT id, upper(source_name) AS source_name FROM articles",
     "page_links": f"""
         SELECT DISTINCT url, link FROM (
             SELECT url, CASE WHEN href LIKE 'http://%' OR href LIKE 'https://%' THEN href
@@ -489,8 +493,10 @@ ORACLES: dict[str, str] = {
         SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS publish_date FROM articles
         WHERE ts BETWEEN TIMESTAMP '2024-01-01 06:00:00' AND TIMESTAMP '2024-01-02 18:00:00'""",
     "writeback": """
-        SELECT id, round(CASE WHEN value > 50 THEN value / (value + 50) ELSE c15 END + 2e-10, 6) AS centrality_score_15,
-               CASE WHEN value > 50 THEN 'centroid_k50' ELSE array_to_string(tags, ',') END AS tags
+        SELECT id, round(CASE WHEN value > 100 THEN value / (value + 10) WHEN value > 50 THEN value / (value + 50)
+                              ELSE c15 END + 2e-10, 6) AS centrality_score_15,
+               CASE WHEN value > 30 AND value < 120 THEN 'centroid_k5' WHEN value > 50 THEN 'centroid_k50'
+                    ELSE array_to_string(tags, ',') END AS tags
         FROM scored""",
     "idf_table": f"SELECT term, df, {r6('idf')} FROM idf",
     "tfidf_weights": f"SELECT id, kind, term, {r6('w', 'weight')} FROM weights",
@@ -548,6 +554,15 @@ ORACLES: dict[str, str] = {
         WHERE place <= 10""",
     "vector_ann_recall": "SELECT count(*) AS n_queries, true AS enough FROM articles WHERE vec IS NOT NULL AND CAST(id AS BIGINT) % 50 = 0",
     "stream_ingest": "SELECT DISTINCT normalized_url, lang AS language_code FROM built WHERE lang = 'en'",
+    "stream_rejected": """
+        SELECT normalized_url, lang AS language_code,
+               CASE WHEN order_key % 7 = 0 THEN 'incomplete' ELSE 'language' END AS reason
+        FROM built WHERE order_key % 7 = 0 OR lang NOT IN ('en', 'fr')""",
+    "stream_pages": f"""
+        SELECT DISTINCT normalized_url, upper(domain) AS source_name, language_code FROM (
+            SELECT {normalize_url('url')} AS normalized_url, {url_domain('url')} AS domain, title, text,
+                   coalesce(nullif(declared, ''), {language("title || '. ' || text")}) AS language_code FROM extracted)
+        WHERE language_code IN ('en', 'de') AND title IS NOT NULL AND text IS NOT NULL""",
     "stream_analysis": f"SELECT id, {CENTRALITY} FROM scores",
     "stream_day_counts": """
         SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""",

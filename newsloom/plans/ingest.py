@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import first_words
 from newsloom.functions.urls import article_id, normalize_url, url_domain, with_scheme
 from newsloom.operators.dedup import dedup_new, distinct_ids
+from newsloom.session import materialise
 from newsloom.sources.links import tag_source
 
 BEGINNING_WORDS = 100
@@ -48,7 +49,7 @@ def ingest(
     Duplicates are neither: they are known articles.  ``sources`` (source_name, normalized_domain) names
     the source of every article whose site is in it.
     """
-    articles = build_articles(parsed, as_of)
+    articles = materialise(build_articles(parsed, as_of), "parsed")
     if sources is not None:
         articles = tag_source(articles, sources)
     usable = F.col("normalized_url").isNotNull() & F.col("article_title").isNotNull() & F.col("article_text").isNotNull()

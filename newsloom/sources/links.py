@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import link_domain, link_url, url_domain
@@ -93,14 +94,48 @@ def write_url_list(urls: DataFrame, path: str) -> None:
     urls.select("url", "domain_name").write.mode("errorifexists").csv(path, header=True)
 
 
+ORDER_BUCKETS = 4096
+
+
+def ordered_parts(urls: DataFrame, partitions: int, seed: int) -> DataFrame:
+    """``url, position, part``: a random order that ``seed`` fixes, in parts at most one row apart.
+
+    The order is that of a hash of the address, then the address; equal rows follow each other.  Positions
+    are counted per range of the hash, so that no task sorts more than its range.
+    """
+    hashed = urls.select("url").withColumn("_hash", F.xxhash64("url", F.lit(seed)))
+    bucket = F.shiftright("_hash", 52) + ORDER_BUCKETS // 2
+    placed = hashed.withColumn("_bucket", bucket.cast("int"))
+    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    # at most 4096 rows
+    counts = counts.select(
+        "_bucket",
+        F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(W.partitionBy()).alias("_all"),
+    )
+    inside = F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", "url")) - 1
+    position = (F.col("_before") + inside).alias("position")
+    numbered = placed.join(F.broadcast(counts), "_bucket").select("url", position, "_all")
+    part = F.expr(f"position * {int(partitions)} div _all").cast("int")
+    return numbered.select("url", "position", part.alias("part"))
+
+
 def read_url_list(
     spark: SparkSession, path: str, shuffle_seed: int | None = None, partitions: int | None = None
 ) -> DataFrame:
-    """Column ``url`` of a URL list, optionally in random order and split evenly."""
+    """Column ``url`` of a URL list; with a seed in random order, split evenly in that order."""
     urls = spark.read.csv(path, header=True).select("url")
-    if shuffle_seed is not None:
-        urls = urls.orderBy(F.rand(shuffle_seed))
-    return urls.repartition(partitions) if partitions else urls
+    if shuffle_seed is None:
+        return urls.repartition(partitions) if partitions else urls
+    n = partitions or urls.rdd.getNumPartitions()
+    dealt = ordered_parts(urls, n, shuffle_seed)
+    return dealt.repartitionByRange(n, "part").sortWithinPartitions("position").select("url")
+
+
+def write_ordered_parts(urls: DataFrame, path: str, partitions: int, seed: int) -> None:
+    """A folder per part, each with its addresses in order."""
+    dealt = ordered_parts(urls, partitions, seed).repartition(partitions, "part").sortWithinPartitions("part", "position")
+    dealt.write.mode("errorifexists").partitionBy("part").csv(path, header=True)
 
 
 def sources_from_config(spark: SparkSession, path: str) -> DataFrame:

@@ -171,6 +171,89 @@ def test_rows_that_arrive_during_the_analysis_stay(spark, tmp_path):
     assert store.read_articles(spark, path).count() == 0
 
 
+def result_of(spark, path, *columns):
+    return {r["id"]: tuple(r[c] for c in columns) for r in store.read_articles(spark, path).collect()}
+
+
+def test_updates_of_some_rows_and_columns(spark, tmp_path):
+    path = str(tmp_path / "table")
+    day = F.lit("2024-01-02").cast("date").alias("day")
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    store.append_articles(rows.withColumn("publish_date", F.lit("2024-01-02 10:00:00").cast("timestamp")), path)
+    full = rows.where("id <> 'c'").select(
+        day, "id", F.lit(0.5).alias("centrality_score_15"), F.lit(0.25).alias("centrality_score_3"), F.array(F.lit("centroid_k5")).alias("article_centroid_tags")
+    )
+    names = ("centrality_score_15", "centrality_score_3", "article_centroid_tags")
+    store.write_back(spark, path, full, version=1)
+    part = rows.where("id = 'a'").select(day, "id", F.lit(0.75).alias("centrality_score_15"))
+    store.write_back(spark, path, part, version=2)
+    expected = {"a": (0.75, 0.25, ["centroid_k5"]), "b": (0.5, 0.25, ["centroid_k5"]), "c": (None, None, None)}
+    assert result_of(spark, path, *names) == expected
+    # a late replay of the first version changes nothing
+    store.write_back(spark, path, full, version=1)
+    assert result_of(spark, path, *names) == expected
+    # a null that is written sets the column to null
+    none = rows.where("id = 'b'").select(day, "id", F.lit(None).cast("double").alias("centrality_score_3"))
+    store.write_back(spark, path, none, version=3)
+    expected["b"] = (0.5, None, ["centroid_k5"])
+    assert result_of(spark, path, *names) == expected
+    assert store.compact_results(spark, path) == 2 and store.compact_results(spark, path) == 0
+    assert result_of(spark, path, *names) == expected
+    store.write_back(spark, path, part.withColumn("centrality_score_15", F.lit(0.125)), version=4)
+    expected["a"] = (0.125, 0.25, ["centroid_k5"])
+    assert result_of(spark, path, *names) == expected
+    assert store.compact_results(spark, path) == 1
+    assert result_of(spark, path, *names) == expected
+
+
+def test_random_order_is_fixed_and_even(spark, tmp_path):
+    rows = spark.createDataFrame([(f"a.com/{i}",) for i in range(103)] + [("a.com/1",)] * 20, "url string")
+    dealt = links.ordered_parts(rows.repartition(5), 8, seed=3).collect()
+    assert sorted(r.position for r in dealt) == list(range(123))
+    sizes = [sum(r.part == p for r in dealt) for p in range(8)]
+    assert max(sizes) - min(sizes) <= 1 and all(r.part == r.position * 8 // 123 for r in dealt)
+    order = [r.url for r in sorted(dealt, key=lambda r: r.position)]
+    again = links.ordered_parts(rows.repartition(3), 2, seed=3).orderBy("position").collect()
+    assert [r.url for r in again] == order != sorted(order)
+    assert [r.url for r in links.ordered_parts(rows, 8, seed=4).orderBy("position").collect()] != order
+    links.write_ordered_parts(rows, str(tmp_path / "parts"), 4, seed=3)
+    back = [r.url for p in range(4) for r in spark.read.csv(str(tmp_path / f"parts/part={p}"), header=True).collect()]
+    assert back == order
+    assert links.ordered_parts(rows.limit(0), 4, seed=1).count() == 0
+
+
+def test_rejected_rows_are_kept_once(spark, tmp_path):
+    landing, table = str(tmp_path / "landing"), str(tmp_path / "table")
+    rows = parsed(spark, [("a.com/x", "first", "en", 1), ("a.com/y", "german", "de", 2), ("a.com/z", None, "en", 3)])
+    rows.write.parquet(landing)
+    for state in ("one", "two"):  # a lost checkpoint replays the batch
+        stream = loops.read_landing(spark, landing, rows.schema)
+        loops.stream_ingest(stream, table, str(tmp_path / state), ["en"], "2024-01-05 00:00:00", ["order_key"]).awaitTermination()
+    kept = {(r.normalized_url, r.reason, r.batch) for r in loops.read_rejected(spark, table).collect()}
+    assert kept == {("https://a.com/y", "language", 0), ("https://a.com/z", "incomplete", 0)}
+    assert loops.read_rejected(spark, table).count() == 2 and store.read_articles(spark, table).count() == 1
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    landing, log, state = (str(tmp_path / x) for x in ("landing", "log", "state"))
+
+    def land(*days):
+        rows = spark.createDataFrame([(f"{d} 12:00:00", "k") for d in days], "ts string, kind string")
+        rows.select(F.col("ts").cast("timestamp").alias("ts"), "kind").coalesce(1).write.mode("append").parquet(landing)
+        stream = loops.read_landing(spark, landing, rows.select(F.col("ts").cast("timestamp"), "kind").schema)
+        loops.stream_counts(stream, "ts", "kind", log, state).awaitTermination()
+
+    def counts():
+        return {str(r.day): r.n for r in loops.latest_counts(spark, log, "kind").collect()}
+
+    land("2024-03-01", "2024-03-01", "2024-01-20")
+    land("2024-01-20", "2024-03-02")
+    assert counts() == {"2024-03-01": 2, "2024-01-20": 2, "2024-03-02": 1}
+    assert loops.fold_counts(spark, log, "kind") == 1 and counts()["2024-01-20"] == 2
+    land("2024-01-20", "2023-06-01")
+    assert counts() == {"2024-03-01": 2, "2024-01-20": 3, "2024-03-02": 1, "2023-06-01": 1}
+
+
 def test_link_addresses(spark):
     html = """<link rel="stylesheet" href="/s.css"><a href="next.html">n</a><a class=x href='/q'>q</a><a href=../up?a=1&amp;b=2>u</a>
     <a href="#top">t</a><a href="mailto:x@a.com">m</a><a href="./here">h</a><a href="?p=2">p</a><A HREF="//a.com/abs">z</A>"""
