@@ -358,21 +358,14 @@ def close_words(hits: str, title_only: bool) -> dict[str, str]:
     text = "a.article_title" if title_only else "a.article_title || a.article_text_beginning"
     return {
         "hit_tokens": f"""
-            SELECT a.id AS id, unnest(list_distinct({fuzzy_tokens(text)})) AS token
+            SELECT a.id AS id, list_transform(list_distinct({fuzzy_tokens(text)}), lambda t: {one_byte_letters('t')}) AS tokens
             FROM articles a WHERE a.id IN (SELECT id FROM {hits})""",
         "query_tokens": f"SELECT qid, unnest(list_distinct({fuzzy_tokens('q')})) AS query_token FROM queries",
-        "words_close": f"""
-            SELECT * FROM (
-                SELECT query_token, token, jaro_winkler_similarity({one_byte_letters('query_token')},
-                       {one_byte_letters('token')}) AS score
-                FROM (SELECT DISTINCT query_token FROM query_tokens), (SELECT DISTINCT token FROM hit_tokens))
-            WHERE score > 0.9""",
         "token_best": f"""
-            SELECT h.qid AS qid, h.id AS id, t.query_token AS query_token, coalesce(max(b.best), 0) AS best
-            FROM {hits} h JOIN query_tokens t ON t.qid = h.qid
-            LEFT JOIN (SELECT id, query_token, max(score) AS best FROM hit_tokens JOIN words_close USING (token)
-                       GROUP BY ALL) b ON b.id = h.id AND b.query_token = t.query_token
-            GROUP BY ALL""",
+            SELECT qid, id, query_token,
+                   coalesce(list_max(list_transform(tokens, lambda t: jaro_winkler_similarity(letters, t))), 0) AS best
+            FROM (SELECT h.qid AS qid, h.id AS id, query_token, {one_byte_letters('query_token')} AS letters, tokens
+                  FROM {hits} h JOIN query_tokens t ON t.qid = h.qid JOIN hit_tokens a ON a.id = h.id)""",
         "hit_scores": """
             SELECT qid, id, max(best) AS best_token, avg(best) AS mean_token, min(best) AS worst_token
             FROM token_best GROUP BY qid, id""",

@@ -5,8 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom import fixtures as X
-from newsloom.operators import rerank
-from newsloom.operators.fuzzy import jaro_winkler, match_vocabulary
+from newsloom.operators import fuzzy, rerank
 from newsloom.operators.retrieval import in_date_range, vector_topk
 from newsloom.plans import search as S
 from newsloom.plans.home import home_feed
@@ -72,16 +71,32 @@ def test_strictness_levels_are_nested_and_unknown_gives_nothing(spark, sf_dir):
     assert sets["strict_matching"] <= sets["lenient_matching"] <= sets["very_lenient_matching"]
 
 
-def test_vocabulary_matching_in_blocks(spark, monkeypatch):
-    from newsloom.operators import fuzzy
-
-    monkeypatch.setattr(fuzzy, "VOCABULARY_BLOCK", 7)
-    monkeypatch.setattr(fuzzy, "QUERY_BLOCK", 3)
+def test_scores_over_arrays(monkeypatch):
+    rnd = np.random.default_rng(4)
     words = [f"{a}{b}ing" for a in ("read", "lead", "bread", "thread", "reed") for b in ("", "er", "y", "s")]
-    queries = spark.createDataFrame([(w,) for w in words[::2]], "query_token string")
-    vocabulary = spark.createDataFrame([(w,) for w in words], "token string")
-    got = {(r["query_token"], r["token"]) for r in match_vocabulary(queries, vocabulary).collect()}
-    assert got == {(q, w) for q in words[::2] for w in words if jaro_winkler(q, w) > 0.9}
+    words += ["", "a", "b", "ab", "ba", "martha", "marhta", "dwayne", "duane", "dixon", "dicksonx", "x" * 40, "xy" * 30, "naïve", "naive", "中文", "中"]
+    words += ["".join(rnd.choice(list("abc"), rnd.integers(1, 34))) for _ in range(60)]
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    monkeypatch.setattr(fuzzy, "SCORE_PAIRS", 777)
+    got = fuzzy.pair_scores(words, words, left, right)
+    assert got == pytest.approx([fuzzy.jaro_winkler(words[i], words[j]) for i, j in zip(left, right, strict=True)], abs=1e-12)
+
+
+def test_best_scores_are_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "BATCH_PAIRS", 5)
+    rows = [("a", "Reading lists", "bread and threads"), ("b", "Nothing alike", None), ("c", None, None), ("d", "zzz", "reading")]
+    articles = spark.createDataFrame(rows, "id string, article_title string, article_text_beginning string")
+    queries = spark.createDataFrame([("q", "Reader of threads", False), ("t", "reading", True), ("e", "--", False)], "qid string, q string, title_only boolean")
+    hits = spark.createDataFrame([(q, r[0]) for q in "qte" for r in rows], "qid string, id string")
+    got = {(r.qid, r.id, r.query_token): r.best for r in fuzzy.token_scores(hits, articles, queries).collect()}
+    want = {}
+    for name, title, beginning in rows:
+        for qid, asked, title_only in (("q", ("reader", "of", "threads"), False), ("t", ("reading",), True)):
+            text = (title or "") + ("" if title_only else beginning or "")
+            words = [w for w in "".join(c.lower() if c.isalnum() else " " for c in text).split()]
+            want.update({(qid, name, q): max((fuzzy.jaro_winkler(q, w) for w in words), default=0.0) for q in asked})
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert any(0 < v < 0.9 for v in want.values())
 
 
 def test_home_feed_pages(spark, sf_dir):
