@@ -9,25 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.boosts import cosine, decay, factor, has_any
-from newsloom.functions.text import char_ngrams, search_words
-from newsloom.session import bounded_broadcast, materialise
-
-# Fixed values of the search: term saturation, field weights, tags and factors.
-K1 = 0.25
-FIELD_WEIGHTS = {
-    "article_title": 1.5,
-    "article_text_beginning": 0.1,
-    "article_text": 0.1,
-    "source_name": 1.0,
-    "article_authors": 1.0,
-}
-NGRAM_FIELDS = tuple(FIELD_WEIGHTS)
-WORD_FIELDS = ("article_title", "article_text_beginning", "source_name", "article_authors")
+from newsloom.operators import postings as P
+from newsloom.session import materialise
+
+# Fixed values of the search: tags and factors.
 CENTROID_TAGS = ["centroid_k5", "centroid_k10", "centroid_k20", "centroid_k50"]
 TAG_BONUS = 1.5
 MAX_QUERY_CHARS = 250
-# Words with their lists of asked terms are wider than usual broadcast rows.
-WORD_LISTS = 300_000
+RECENCY = {"offset": 48, "rate": 0.5, "scale": 12}
+RECENCY_FACTOR = {"const": 2, "weight": 1, "low": 0, "high": 3}
+EMBEDDING_FACTOR = {"const": 3, "weight": 1, "low": 0, "high": 5}
 SCORE_DIGITS = 9
 QUERY_BLOCK = 512
 
@@ -37,62 +28,27 @@ def guard(queries: DataFrame) -> DataFrame:
     return queries.withColumn("q", F.substring("q", 1, MAX_QUERY_CHARS)).where(F.length("q") > 0)
 
 
-def query_terms(queries: DataFrame, ngrams: bool = True) -> DataFrame:
-    """``qid, is_word, term``: distinct words, and distinct n-grams of the words."""
-    words = queries.select("qid", F.explode(F.array_distinct(search_words(F.col("q")))).alias("term"))
-    out = words.select("qid", F.lit(True).alias("is_word"), "term")
-    if ngrams:
-        grams = words.select("qid", F.lit(False).alias("is_word"), F.explode(char_ngrams(F.col("term"))).alias("term"))
-        out = out.unionByName(grams.distinct())
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
     return out
 
 
-def field_words(articles: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """``id, field, word``, one row per occurrence; a field is its number in ``FIELD_WEIGHTS``."""
-
-    def of_field(name: str) -> Column:
-        text = F.array_join(F.col(name), ", ") if name == "article_authors" else F.col(name)
-        number = F.lit(NGRAM_FIELDS.index(name)).alias("field")
-        return F.transform(search_words(text), lambda w: F.struct(number, w.alias("word")))
-
-    words = F.explode_outer(F.concat(*[of_field(name) for name in fields])).alias("x")
-    return articles.select("id", words).where(F.col("x").isNotNull()).select("id", "x.field", "x.word")
-
-
-def term_matches(articles: DataFrame, asked: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """``id, field, term_no, tf`` of the asked terms (``term_no, is_word, term``).
-
-    N-grams are looked up once per distinct word of the collection; the list of asked terms
-    of a word is then joined to its occurrences, instead of unfolding every occurrence.
-    """
-    occurrences = field_words(articles, fields)
-    vocabulary = occurrences.select("word").distinct()
-    itself = F.array(F.struct(F.lit(True).alias("is_word"), F.col("word").alias("term")))
-    grams = F.transform(
-        char_ngrams(F.col("word")), lambda g: F.struct(F.lit(False).alias("is_word"), g.alias("term"))
-    )
-    pieces = F.concat(itself, grams) if "article_text" in fields else itself
-    pieces = vocabulary.select("word", F.explode_outer(pieces).alias("x")).select("word", "x.is_word", "x.term")
-    matching = (
-        pieces.join(bounded_broadcast(asked), ["is_word", "term"])
-        .groupBy("word")
-        .agg(F.collect_list(F.struct("term_no", "is_word")).alias("terms"))
-    )
-    matching = materialise(matching, "matching-words")
-    word_fields = [NGRAM_FIELDS.index(name) for name in WORD_FIELDS]
-    return (
-        occurrences.join(bounded_broadcast(matching, WORD_LISTS), "word")
-        .select("id", "field", F.explode_outer("terms").alias("x"))
-        .where(~F.col("x.is_word") | F.col("field").isin(word_fields))
-        .groupBy("id", "field", F.col("x.term_no").alias("term_no"))
-        .agg(F.count("*").alias("tf"))
-    )
-
-
-def bm25(tf: Column, df: Column, n: Column) -> Column:
-    """Term score without length normalisation (b = 0)."""
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1)
+def _matches(batch, asked, scores, state):
+    if batch is None:
+        return
+    any_score, all_score, gram_score = scores
+    query, row = np.nonzero(any_score + gram_score)
+    if len(query):
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(asked.qids, pa.string()).take(pa.array(query)),
+                batch.column("id").take(pa.array(row)),
+                *(pa.array(x[query, row]) for x in scores),
+            ],
+            ["qid", "id", "any_score", "all_score", "ngram_score"],
+        )
 
 
 def text_scores(articles: DataFrame, queries: DataFrame, ngrams: bool = True) -> DataFrame:
@@ -100,38 +56,14 @@ def text_scores(articles: DataFrame, queries: DataFrame, ngrams: bool = True) ->
 
     ``all_score`` repeats ``any_score`` where every query word occurs.
     """
-    terms = query_terms(queries, ngrams)
-    numbered = terms.select("is_word", "term").distinct().withColumn("term_no", F.monotonically_increasing_id())
-    # the numbers are fixed by writing them down once
-    asked = materialise(numbered, "asked-terms")
-    terms = terms.join(bounded_broadcast(asked), ["is_word", "term"]).select("qid", "is_word", "term_no")
-    fields = NGRAM_FIELDS if ngrams else WORD_FIELDS
-    matches = materialise(term_matches(articles, asked, fields), "term-matches")
-    total = articles.agg(F.count("*").alias("n")).scalar()
-    df = matches.groupBy("field", "term_no").agg(F.count("*").alias("df"))
-    weight = F.element_at(F.array(*[F.lit(w) for w in FIELD_WEIGHTS.values()]), F.col("field") + 1)
-    per_term = (
-        matches.join(bounded_broadcast(df), ["field", "term_no"])
-        .groupBy("id", "term_no")
-        .agg(F.sum(weight * bm25(F.col("tf"), F.col("df"), total)).alias("part"))
-    )
-    sizes = terms.where("is_word").groupBy("qid").agg(F.count("*").alias("n_terms"))
-    summed = (
-        per_term.join(bounded_broadcast(terms), "term_no")
-        .groupBy("qid", "id")
-        .agg(
-            F.sum(F.when(F.col("is_word"), F.col("part")).otherwise(0.0)).alias("any_score"),
-            F.sum(F.when(F.col("is_word"), 0.0).otherwise(F.col("part"))).alias("ngram_score"),
-            F.count(F.when(F.col("is_word"), 1)).alias("n_found"),
-        )
-    )
-    return summed.join(bounded_broadcast(sizes), "qid", "left").select(
-        "qid",
-        "id",
-        "any_score",
-        F.when(F.col("n_found") == F.col("n_terms"), F.col("any_score")).otherwise(0.0).alias("all_score"),
-        "ngram_score",
-    )
+    stored = P.postings(articles)
+    schema = "qid string, id string, any_score double, all_score double, ngram_score double"
+    fields = P.FIELDS if ngrams else P.WORD_FIELDS
+    found = []
+    for blocks in P.asked_blocks(queries, ngrams):
+        P.count_documents(stored, blocks, fields)
+        found.append(P.scan(stored, blocks, fields, _matches, schema))
+    return _union(found) if found else articles.sparkSession.createDataFrame([], schema)
 
 
 def in_date_range(ts: Column, min_date: Column, max_date: Column) -> Column:
@@ -148,7 +80,7 @@ def in_date_range(ts: Column, min_date: Column, max_date: Column) -> Column:
 
 
 def recency_factor(ts: Column, target: Column) -> Column:
-    return factor(decay(ts, target, offset=48, rate=0.5, scale=12), const=2, weight=1, low=0, high=3)
+    return factor(decay(ts, target, **RECENCY), **RECENCY_FACTOR)
 
 
 def centrality_factor(score: Column) -> Column:
@@ -156,7 +88,7 @@ def centrality_factor(score: Column) -> Column:
 
 
 def embedding_factor(a: Column, b: Column) -> Column:
-    return factor(cosine(a, b), const=3, weight=1, low=0, high=5)
+    return factor(cosine(a, b), **EMBEDDING_FACTOR)
 
 
 def top_k(hits: DataFrame, limit: int, start: int = 0) -> DataFrame:
@@ -193,26 +125,116 @@ def retrieve(
     for name, value in defaults.items():
         if name not in queries.columns:
             queries = queries.withColumn(name, value)
-    attributes = articles.select("id", "publish_date", "centrality_score_15", "article_centroid_tags", "title_embedding")
     tagged = has_any(F.col("article_centroid_tags"), CENTROID_TAGS)
-    target = F.coalesce("target_date", F.lit(as_of).cast("timestamp"))
-    text = F.col("any_score") + F.col("all_score") + F.col("ngram_score")
-    score = (
-        (text + F.when(tagged, F.lit(TAG_BONUS)).otherwise(0.0))
-        * recency_factor(F.col("publish_date"), target)
-        * centrality_factor(F.col("centrality_score_15"))
-        * embedding_factor(F.col("title_embedding"), F.col("query_embedding"))
-    )
-    hits = (
-        text_scores(articles, queries)
-        .join(attributes, "id")
-        .join(bounded_broadcast(queries.select("qid", *defaults)), "qid")
-        .where(in_date_range(F.col("publish_date"), F.col("min_date"), F.col("max_date")))
+    attributes = [
+        F.unix_micros("publish_date").alias("ts"),
+        F.when(tagged, F.lit(TAG_BONUS)).otherwise(0.0).alias("bonus"),
+        centrality_factor(F.col("centrality_score_15")).alias("central"),
+        F.col("title_embedding").cast("array<double>").alias("vector"),
+    ]
+    stored = P.postings(articles.where(tagged) if require_centroid else articles, attributes)
+    # the document counts of terms are those of all articles
+    everything = P.postings(articles) if require_centroid else stored
+    asked = queries.select(
+        "qid",
+        "q",
+        *_bounds(F.col("min_date"), F.col("max_date")),
+        F.unix_micros(F.coalesce("target_date", F.lit(as_of).cast("timestamp"))).alias("target"),
+        F.col("query_embedding").cast("array<double>").alias("vector"),
     )
-    if require_centroid:
-        hits = hits.where(tagged)
-    hits = hits.select("qid", "id", "publish_date", F.round(score, SCORE_DIGITS).alias("score"))
-    return top_k(hits, limit)
+    found = []
+    total = everything.count()
+    for blocks in P.asked_blocks(asked, True, ["low", "high", "target", "vector"]):
+        P.count_documents(everything, blocks, P.FIELDS)
+        found.append(P.scan(stored, blocks, P.FIELDS, _best_hits(limit), "qid string, id string, publish_date timestamp, score double", total))
+    if not found:
+        return articles.sparkSession.createDataFrame([], "qid string, id string, publish_date timestamp, score double, rank int")
+    return top_k(_union(found), limit)
+
+
+def _bounds(min_date: Column, max_date: Column) -> list[Column]:
+    """First and last microsecond of the days of a query; null is open, a bad date leaves nothing."""
+    low_text, high_text = F.nullif(min_date, F.lit("")), F.nullif(max_date, F.lit(""))
+    low = F.unix_micros(F.try_to_timestamp(F.concat(low_text, F.lit(" 00:00:00"))))
+    high = F.unix_micros(F.try_to_timestamp(F.concat(high_text, F.lit(" 23:59:59"))))
+    never = (1 << 63) - 1
+    return [
+        F.when(low_text.isNotNull(), F.coalesce(low, F.lit(never))).alias("low"),
+        F.when(high_text.isNotNull(), F.coalesce(high, F.lit(-never))).alias("high"),
+    ]
+
+
+def _clamped(boost: np.ndarray, const: float, weight: float, low: float, high: float) -> np.ndarray:
+    return np.clip(const + weight * boost, low, high)
+
+
+def _cosines(asked: list, column) -> np.ndarray:
+    """Cosines (query x article); missing and zero vectors compare as 0."""
+    rows = [x for x in asked if x is not None]
+    lengths = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(asked), len(column)))
+    if rows and lengths.max(initial=0):
+        some = np.flatnonzero(lengths)
+        mine = unit_rows(column.take(pa.array(some)))
+        theirs = np.array(rows, float)
+        size = np.linalg.norm(theirs, axis=1, keepdims=True)
+        given = [i for i, x in enumerate(asked) if x is not None]
+        out[np.ix_(given, some)] = (theirs / np.where(size > 0, size, 1.0)) @ mine.T
+    return out
+
+
+def _best_hits(k: int):
+    """The best ``k`` hits of every query among the articles of a task, by score and id."""
+
+    def kernel(batch, asked, scores, state):
+        if batch is None:
+            for qids, best in state.values():
+                for start in range(0, len(qids), 64):
+                    part = best[start : start + 64]
+                    names = [q for q, b in zip(qids[start : start + 64], part, strict=True) for _ in b[0]]
+                    columns = [np.concatenate([b[i] for b in part]) for i in range(3)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names, pa.string()), pa.array(columns[1], pa.string()), _timestamps(columns[2]), pa.array(columns[0].astype(float))],
+                        ["qid", "id", "publish_date", "score"],
+                    )
+            return
+        text = scores[0] + scores[1] + scores[2]
+        dated = batch.column("ts").is_valid().to_numpy(zero_copy_only=False)
+        ts = batch.column("ts").fill_null(0).to_numpy()
+        target = np.array(asked.extra["target"], np.int64)[:, None]
+        late = np.maximum(0.0, np.abs(target - ts) / 3.6e9 - RECENCY["offset"])
+        recent = np.where(dated, np.exp(np.log(RECENCY["rate"]) / RECENCY["scale"] * late), 0.0)
+        value = (
+            (text + batch.column("bonus").to_numpy())
+            * _clamped(recent, **RECENCY_FACTOR)
+            * batch.column("central").to_numpy()
+            * _clamped(_cosines(asked.extra["vector"], batch.column("vector")), **EMBEDDING_FACTOR)
+        )
+        value = np.round(value, SCORE_DIGITS)
+        ids = np.array(batch.column("id").to_pylist(), object)
+        moments = np.where(dated, ts, NO_TIME)
+        qids, best = state.setdefault(asked.qids[0], (asked.qids, [(np.empty(0), np.empty(0, object), np.empty(0, np.int64))] * len(asked.qids)))
+        for i in range(len(qids)):
+            hit = scores[0][i] + scores[2][i] > 0
+            for end, compare in ((asked.extra["low"][i], np.greater_equal), (asked.extra["high"][i], np.less_equal)):
+                if end is not None:
+                    hit &= dated & compare(ts, end)
+            hit = np.flatnonzero(hit)
+            if len(best[i][0]) >= k:
+                hit = hit[value[i, hit] >= best[i][0][-1]]
+            if len(hit):
+                found = [np.concatenate(pair) for pair in zip(best[i], (value[i, hit], ids[hit], moments[hit]), strict=True)]
+                order = np.lexsort((found[1].astype(str), -found[0]))[:k]
+                best[i] = tuple(x[order] for x in found)
+
+    return kernel
+
+
+NO_TIME = -(1 << 63)
+
+
+def _timestamps(micros: np.ndarray) -> pa.Array:
+    return pa.array(micros.astype(np.int64), pa.int64(), mask=micros == NO_TIME).cast(pa.timestamp("us", "UTC"))
 
 
 def unit_rows(column) -> np.ndarray:
