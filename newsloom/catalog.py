@@ -416,22 +416,27 @@ def home_feed_query(spark, sf_dir):
 REGISTRY["home_feed"] = REGISTRY.pop("home_feed_query")
 
 
+def _asked(spark, sf_dir) -> DataFrame:
+    """Search texts as a search takes them: at most 250 characters."""
+    return retrieval.guard(X.search_queries(spark, sf_dir))
+
+
 @query
 def bm25_search(spark, sf_dir):
-    scores = retrieval.text_scores(X.articles(spark, sf_dir), X.search_queries(spark, sf_dir), ngrams=False)
+    scores = retrieval.text_scores(X.articles(spark, sf_dir), _asked(spark, sf_dir), ngrams=False)
     return scores.select("qid", "id", r6("any_score").alias("any_score"), r6("all_score").alias("all_score"))
 
 
 @query
 def ngram_search(spark, sf_dir):
-    scores = retrieval.text_scores(X.articles(spark, sf_dir), X.search_queries(spark, sf_dir))
+    scores = retrieval.text_scores(X.articles(spark, sf_dir), _asked(spark, sf_dir))
     return scores.select("qid", "id", r6("ngram_score").alias("ngram_score"))
 
 
 @query
 def search_date_filter(spark, sf_dir):
     queries = X.search_queries(spark, sf_dir).select("qid", "min_date", "max_date")
-    matched = retrieval.text_scores(X.articles(spark, sf_dir), X.search_queries(spark, sf_dir), ngrams=False)
+    matched = retrieval.text_scores(X.articles(spark, sf_dir), _asked(spark, sf_dir), ngrams=False)
     dated = matched.select("qid", "id").join(X.articles(spark, sf_dir).select("id", "publish_date"), "id")
     inside = retrieval.in_date_range(F.col("publish_date"), F.col("min_date"), F.col("max_date"))
     return dated.join(bounded_broadcast(queries), "qid").where(inside).select("qid", "id")
@@ -440,7 +445,7 @@ def search_date_filter(spark, sf_dir):
 @query
 def embedding_search(spark, sf_dir):
     queries = X.search_queries(spark, sf_dir).select("qid", "query_embedding")
-    matched = retrieval.text_scores(X.articles(spark, sf_dir), X.search_queries(spark, sf_dir), ngrams=False)
+    matched = retrieval.text_scores(X.articles(spark, sf_dir), _asked(spark, sf_dir), ngrams=False)
     vectors = X.articles(spark, sf_dir).select("id", "title_embedding")
     rows = matched.select("qid", "id").join(vectors, "id").join(bounded_broadcast(queries), "qid")
     close = retrieval.embedding_factor(F.col("title_embedding"), F.col("query_embedding"))
@@ -484,8 +489,8 @@ def _hits(spark, sf_dir, level: str, search_type: str = "timeline") -> DataFrame
 @query
 def fuzzy_token_match(spark, sf_dir):
     articles = X.articles(spark, sf_dir)
-    queries = X.search_queries(spark, sf_dir).select("qid", "q", F.lit(False).alias("title_only"))
-    hits = retrieval.text_scores(articles, X.search_queries(spark, sf_dir), ngrams=False).select("qid", "id")
+    queries = _asked(spark, sf_dir).select("qid", "q", F.lit(False).alias("title_only"))
+    hits = retrieval.text_scores(articles, _asked(spark, sf_dir), ngrams=False).select("qid", "id")
     scores = fuzzy.hit_scores(fuzzy.token_scores(hits, articles, queries))
     return scores.select(
         "qid",

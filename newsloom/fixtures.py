@@ -75,13 +75,13 @@ def corpus_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_queries(
     spark: SparkSession, sf_dir: str, strictness: str = "strict_matching", search_type: str = "timeline"
 ) -> DataFrame:
-    """One query per benchmark passage: its opening words; long and short passages bring date limits."""
+    """One query per benchmark passage: its whole text; long and short passages bring date limits."""
     items = table(spark, sf_dir, "benchmark")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
     chars = F.length("text")
     return items.join(vectors, "item_id", "left").select(
         F.concat(F.lit("q"), F.lpad(F.col("item_id").cast("string"), 8, "0")).alias("qid"),
-        first_words(F.col("text"), 3).alias("q"),
+        F.col("text").alias("q"),
         F.when(chars > 250, "2024-01-02").otherwise("").alias("min_date"),
         F.when(chars < 150, "2024-01-02").otherwise("").alias("max_date"),
         F.lit(strictness).alias("strictness"),

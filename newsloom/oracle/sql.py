@@ -276,7 +276,7 @@ PARTS: dict[str, str] = {
     "wsims": "SELECT s.day AS day, i, j, s, centrality_score_half AS w FROM sims s JOIN scores c ON c.id = s.j",
     "cov0": "SELECT day, id, 0.0::DOUBLE AS cov FROM scores",
     "queries": f"""
-        SELECT 'q' || lpad(CAST(b.item_id AS VARCHAR), 8, '0') AS qid, {first_words('b.text', 3)} AS q,
+        SELECT 'q' || lpad(CAST(b.item_id AS VARCHAR), 8, '0') AS qid, substr(b.text, 1, 250) AS q,
                CASE WHEN length(b.text) > 250 THEN '2024-01-02' ELSE '' END AS min_date,
                CASE WHEN length(b.text) < 150 THEN '2024-01-02' ELSE '' END AS max_date,
                CAST(v.embedding AS DOUBLE[]) AS qvec

@@ -102,6 +102,12 @@ def calendar_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
+def task_count(df: DataFrame) -> int:
+    """Tasks that keep all cores of the session's cluster busy, and at least those of its shuffles."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core work when the input has fewer splits than cores; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

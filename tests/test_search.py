@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom import fixtures as X
+from newsloom.functions.text import first_words
 from newsloom.operators import fuzzy, rerank
 from newsloom.operators.retrieval import in_date_range, vector_topk
 from newsloom.plans import search as S
@@ -58,7 +59,7 @@ def test_summary_advice(spark):
 
 def test_strictness_levels_are_nested_and_unknown_gives_nothing(spark, sf_dir):
     articles = X.scored_articles(spark, sf_dir)
-    base = X.search_queries(spark, sf_dir).where("qid <= 'q00000003'").drop("strictness")
+    base = X.search_queries(spark, sf_dir).where("qid <= 'q00000003'").drop("strictness").withColumn("q", first_words(F.col("q"), 3))
     levels = spark.createDataFrame([(x,) for x in (*S.LEVELS, "unknown")], "strictness string")
     queries = base.join(F.broadcast(levels)).withColumn("base", F.col("qid")).withColumn("qid", F.concat("qid", F.lit("|"), "strictness"))
     empty = queries.where("qid like 'q00000000%'").withColumn("q", F.lit("")).withColumn("qid", F.concat(F.lit("e"), "qid"))
@@ -80,6 +81,7 @@ def test_scores_over_arrays(monkeypatch):
     monkeypatch.setattr(fuzzy, "SCORE_PAIRS", 777)
     got = fuzzy.pair_scores(words, words, left, right)
     assert got == pytest.approx([fuzzy.jaro_winkler(words[i], words[j]) for i, j in zip(left, right, strict=True)], abs=1e-12)
+    assert (fuzzy.pair_bounds(words, words, left, right) >= got - 1e-12).all()
 
 
 def test_best_scores_are_not_cut(spark, monkeypatch):
