@@ -1,8 +1,10 @@
 """URL filter: given host and path rules first, mined association rules for all other pages.
 
-FP-growth runs on the tokens of labelled URLs together with an item for the label.  Rules from token
-combinations to that item are pruned by support, confidence and lift, and dropped when a part of their
-tokens says the same at least as surely.  The remaining rules form an inverted index from their rarest
+FP-growth runs on the tokens of labelled URLs together with an item for the label.  Tokens that occur in
+exactly the same URLs are one item, and a token that only bad URLs have is a rule at once, since no
+combination with it can be surer; neither is left to multiply combinations.  Rules from token combinations
+to the label are pruned by support, confidence and lift, and dropped when a part of their tokens says the
+same at least as surely.  The remaining rules form an inverted index from their rarest
 token; every page looks up its own tokens and checks the few rules found there, all inside one native
 expression without a shuffle.
 """
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import kept_table
+from newsloom.session import bounded_broadcast
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "label:block"
@@ -78,9 +81,16 @@ def url_tokens(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class MinedRule:
+    """``tokens`` that have to be in a URL; any other token of the same set in ``alike`` stands for its own."""
+
     tokens: tuple[str, ...]
     confidence: float
     support: float
+    alike: tuple[tuple[str, ...], ...] = ()
+
+    @property
+    def groups(self) -> list[list[str]]:
+        return [list(next((a for a in self.alike if token in a), (token,))) for token in self.tokens]
 
 
 def mine_rules(
@@ -102,17 +112,52 @@ def mine_rules(
     chosen = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(bad).alias("_bad"))
     urls = pages.where("url IS NOT NULL").select(F.col("page_id").alias("_id"), "url")
     joined = urls.join(chosen, "_id").orderBy(F.xxhash64("_id"), "_id", "url").limit(sample)
-    items = F.array_append(url_tokens(F.col("url")), F.when(F.col("_bad"), F.lit(BLOCK)).otherwise(F.lit("label:none")))
-    baskets = kept_table(joined.select(items.alias("items")), "baskets")
-    n = baskets.count()
-    if n < min_pages:
+    numbered = joined.select("_bad", url_tokens(F.col("url")).alias("tokens"), F.monotonically_increasing_id().alias("basket"))
+    baskets = kept_table(numbered, "baskets")
+    n, n_bad = baskets.agg(F.count("*"), F.count_if("_bad")).first()
+    if n < min_pages or not n_bad:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_pages / n), minConfidence=min_confidence).fit(baskets)
+    least = max(min_support, min_pages / n)
+    classes = kept_table(_token_classes(baskets, -(-least * n // 1)), "classes")
+    sure = (F.col("n_bad") == F.col("n")) & F.lit(n / n_bad >= min_lift)
+    rules = [MinedRule((r.members[0],), 1.0, r.n / n, (tuple(r.members),)) for r in classes.where(sure).collect()]
+    # frequent tokens that good URLs have too; a basket keeps one item of each class
+    items = classes.where(~sure).select(F.explode("members").alias("token"), F.col("members")[0].alias("item"))
+    found = baskets.select("basket", F.explode("tokens").alias("token")).join(bounded_broadcast(items), "token")
+    mixed = found.groupBy("basket").agg(F.collect_set("item").alias("items"))
+    label = F.when(F.col("_bad"), F.lit(BLOCK)).otherwise(F.lit("label:none"))
+    mixed = baskets.join(mixed, "basket").select(F.array_append("items", label).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(_all_baskets(mixed, baskets))
     sets = kept_table(model.freqItemsets.where(~F.array_contains("items", "label:none")), "itemsets")
-    rules = [MinedRule(tuple(r.tokens), r.confidence, r.support) for r in _least_rules(sets, n, min_confidence, min_lift)]
+    combined = _least_rules(sets, n, min_confidence, min_lift)
+    wanted = sorted({t for r in combined for t in r.tokens})
+    alike = {r.members[0]: tuple(r.members) for r in classes.where(F.col("members")[0].isin(wanted)).collect()} if wanted else {}
+    rules += [MinedRule(tuple(r.tokens), r.confidence, r.support, tuple(alike[t] for t in r.tokens)) for r in combined]
     return sorted(rules, key=lambda r: (-r.confidence, -r.support, r.tokens))
 
 
+def _token_classes(baskets: DataFrame, least: float) -> DataFrame:
+    """``members, n, n_bad`` of sets of tokens that occur in the same baskets, ``least`` of them or more.
+
+    Baskets are compared by two sums of hashes of their numbers.
+    """
+
+    def total(seed: int) -> Column:
+        return F.sum(F.xxhash64("basket", F.lit(seed)).cast("decimal(20,0)"))
+
+    tokens = baskets.select("basket", "_bad", F.explode("tokens").alias("token"))
+    counted = tokens.groupBy("token").agg(F.count("*").alias("n"), F.count_if("_bad").alias("n_bad"), total(1).alias("a"), total(2).alias("b"))
+    frequent = counted.where(F.col("n") >= least)
+    return frequent.groupBy("n", "n_bad", "a", "b").agg(F.sort_array(F.collect_list("token")).alias("members")).drop("a", "b")
+
+
+def _all_baskets(mixed: DataFrame, baskets: DataFrame) -> DataFrame:
+    """Baskets without any frequent mixed token count as well: support is a share of all."""
+    empty = baskets.count() - mixed.count()
+    spark = mixed.sparkSession
+    return mixed.unionByName(spark.range(empty).select(F.array(F.lit("label:none")).alias("items"))) if empty else mixed
+
+
 def _least_rules(sets: DataFrame, n: int, min_confidence: float, min_lift: float) -> list[Row]:
     """Passing rules (tokens, confidence, support) from all frequent sets of ``n`` baskets (items, freq).
 
@@ -155,28 +200,31 @@ def _least_rules(sets: DataFrame, n: int, min_confidence: float, min_lift: float
 
 
 def inverted_index(rules: list[MinedRule]) -> Column:
-    """Constant map: rarest token of a rule (rarest among the rules) to the token lists to check."""
+    """Constant map: every token of the rarest set of a rule (rarest among the rules) to the sets to check."""
     uses: dict[str, int] = {}
     for rule in rules:
         for token in rule.tokens:
             uses[token] = uses.get(token, 0) + 1
-    index: dict[str, list[list[str]]] = {}
+    index: dict[str, list[list[list[str]]]] = {}
     for rule in rules:
-        index.setdefault(min(rule.tokens, key=lambda t: (uses[t], t)), []).append(list(rule.tokens))
-    return F.from_json(F.lit(json.dumps(index)), "map<string, array<array<string>>>")
+        groups = rule.groups
+        rarest = min(range(len(groups)), key=lambda i: (uses[rule.tokens[i]], rule.tokens[i]))
+        rest = groups[:rarest] + groups[rarest + 1 :]
+        for token in groups[rarest]:
+            index.setdefault(token, []).append(rest)
+    return F.from_json(F.lit(json.dumps(index)), "map<string, array<array<array<string>>>>")
 
 
 def mined_block(tokens: Column, rules: list[MinedRule]) -> Column:
-    """True when all tokens of some mined rule are among ``tokens``."""
+    """True when some mined rule has a token of each of its sets among ``tokens``."""
     if not rules:
         return F.lit(False)
     index = inverted_index(rules)
-    return F.exists(
-        tokens,
-        lambda t: F.coalesce(
-            F.exists(F.element_at(index, t), lambda rule: F.size(F.array_except(rule, tokens)) == 0), F.lit(False)
-        ),
-    )
+
+    def fits(rule: Column) -> Column:
+        return F.forall(rule, lambda group: F.arrays_overlap(group, tokens))
+
+    return F.exists(tokens, lambda t: F.coalesce(F.exists(F.element_at(index, t), fits), F.lit(False)))
 
 
 def judge_urls(pages: DataFrame, mined: list[MinedRule], given=GIVEN_RULES, url_col: str = "url") -> DataFrame:

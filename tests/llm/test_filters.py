@@ -70,6 +70,22 @@ def test_rules_of_every_bad_host_are_kept(spark):
     assert all((v == "allow") == ("good" in url) for url, v in verdicts.items())
 
 
+def test_rules_of_urls_that_share_many_tokens(spark):
+    """Forty query keys of one bad host, most of them in all of its URLs, are no combinations."""
+    keys = [f"k{i}=1" for i in range(40)]
+    rows = ["http://bad.org/x?" + "&".join(keys[: 40 - i % 3]) for i in range(30)]
+    rows += ["http://half.org/y?a=1&b=2&c=3&d=4"] * 40 + ["http://half.org/z?a=1&b=2&c=3&d=4"] * 20 + [f"http://good{i % 50}.org/x" for i in range(200)]
+    bad = ["bad.org" in url or "half.org/y" in url or (i % 2 == 0 and "half" in url) for i, url in enumerate(rows)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    rules = url_rules.mine_rules(pages, labels)
+    # every key stands for itself, as does the host
+    singles = {t for r in rules if len(r.tokens) == 1 for t in r.groups[0]}
+    assert {f"key:k{i}" for i in range(40)} | {"host:bad", "path:y", "host:half", "key:a"} <= singles
+    judged = url_rules.judge_urls(spark.createDataFrame([(1, "http://new.org/x?k39=1"), (2, "http://new.org/x?k40=1")], "page_id long, url string"), rules)
+    assert {r.page_id: r.verdict for r in judged.collect()} == {1: "block", 2: "allow"}
+
+
 def test_rules_are_the_least_ones(spark):
     """Against all parts by brute force; five tokens that only together are bad form a rule."""
     rnd = np.random.default_rng(2)
