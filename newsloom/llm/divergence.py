@@ -36,6 +36,7 @@ SCALE, PRIOR, MIN_DOCS, TOP_TERMS = 1_000_000_000, 5, 30, 50
 BLOCK_ENTRIES = 400_000
 SLICE_BYTES = 1 << 22
 SEGMENT_TERMS = 4_096
+SHARDS_A_TASK = 4  # so that tasks get about the same number of shards
 TILE = 512
 TILES_HELD = 64
 BLOCK_SOURCES = 2_048
@@ -252,9 +253,10 @@ def term_frequencies(docs: DataFrame, min_docs=MIN_DOCS, block_entries=BLOCK_ENT
 
     Null text, lang and source read as empty.  Repeated rows are documents of their own.
     """
-    shards = buckets_for(docs)
+    tasks = buckets_for(docs)
+    shards = SHARDS_A_TASK * tasks
     runs = ready(_filled(docs)).mapInArrow(_index(shards, block_entries, slice_bytes), SEGMENTS)
-    dealt = runs.repartition(shards, "shard").sortWithinPartitions("shard", "lang", "first")
+    dealt = runs.repartition(tasks, "shard").sortWithinPartitions("shard", "lang", "first")
     return dealt.mapInArrow(_merge(min_docs), FREQUENCIES)
 
 
