@@ -310,11 +310,7 @@ def combined_similarity(spark, sf_dir):
 
 @query
 def interval_similarity(spark, sf_dir):
-    features = materialise(
-        feature_table(X.articles(spark, sf_dir), X.corpus_idf(spark, sf_dir), ("tfidf",)), "features"
-    )
-    pairs = T.interval_pairs(features, max_gap_days=1.5, min_similarity=0.2)
-    return pairs.select("id_a", "id_b", r6("sim").alias("sim"))
+    return _pairs(daily.interval_similarity(X.articles(spark, sf_dir), X.corpus_idf(spark, sf_dir), max_gap_days=1.5))
 
 
 def _best(spark, sf_dir) -> tuple[daily.Comparison, DataFrame]:

@@ -249,6 +249,38 @@ PARTS: dict[str, str] = {
     "combined": "SELECT day, id_a, id_b, round(sum(v * CASE kind "
     + " ".join(f"WHEN '{k}' THEN {s}" for k, s in KIND_SHARES.items())
     + " END), 9) AS sim FROM kept GROUP BY ALL",
+    "near_pairs": """
+        SELECT a.kind AS kind, a.id AS id_a, b.id AS id_b, round(sum(a.w * b.w), 9) AS v
+        FROM weights a JOIN weights b ON a.kind = b.kind AND a.term = b.term AND a.id < b.id
+        JOIN articles x ON x.id = a.id JOIN articles y ON y.id = b.id AND x.source <> y.source
+             AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 1.5 * 86400e6
+        GROUP BY ALL
+        UNION ALL
+        SELECT 'vector', a.id, b.id, round(list_dot_product(a.vec, b.vec), 9)
+        FROM articles a JOIN articles b ON a.id < b.id AND a.source <> b.source AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 1.5 * 86400e6
+        WHERE a.vec IS NOT NULL AND b.vec IS NOT NULL""",
+    "windows": """
+        SELECT d.day AS day, a.id AS id, a.day = d.day AS own
+        FROM (SELECT DISTINCT day FROM articles) d JOIN articles a ON a.day BETWEEN d.day - 1 AND d.day + 1""",
+    "window_pairs": """
+        SELECT x.day AS day, p.kind AS kind, p.id_a AS id_a, p.id_b AS id_b, p.v AS v, x.own OR y.own AS own
+        FROM near_pairs p JOIN windows x ON x.id = p.id_a JOIN windows y ON y.id = p.id_b AND y.day = x.day
+        WHERE p.v <> 0""",
+    "window_cells": """
+        SELECT day, kind, v FROM window_pairs UNION ALL SELECT day, kind, v FROM window_pairs
+        UNION ALL
+        SELECT s.day, k.kind, 0.0 FROM (SELECT day, count(*) AS n FROM windows GROUP BY day) s
+        CROSS JOIN (SELECT unnest(['tfidf', 'title_ent', 'text_ent', 'vector']) AS kind) k
+        LEFT JOIN (SELECT day, kind, count(*) AS p FROM window_pairs GROUP BY ALL) c ON c.day = s.day AND c.kind = k.kind,
+        unnest(range(s.n * s.n - 2 * coalesce(c.p, 0)))""",
+    "window_cuts": "SELECT day, kind, quantile_cont(v, 0.9) AS cut FROM window_cells GROUP BY ALL",
+    "window_kept": """
+        SELECT p.day AS day, p.kind AS kind, id_a, id_b, least(v, 1.0) AS v
+        FROM window_pairs p JOIN window_cuts c ON c.day = p.day AND c.kind = p.kind
+        WHERE v >= round(cut, 12) AND v > 0 AND own""",
+    "window_combined": "SELECT day, id_a, id_b, round(sum(v * CASE kind "
+    + " ".join(f"WHEN '{k}' THEN {s}" for k, s in KIND_SHARES.items())
+    + " END), 9) AS sim FROM window_kept GROUP BY ALL",
     "mirrored": """
         SELECT day, id_a AS id, id_b AS other_id, sim FROM combined
         UNION ALL SELECT day, id_b, id_a, sim FROM combined""",
@@ -497,14 +529,7 @@ ORACLES: dict[str, str] = {
     "tfidf_similarity": f"SELECT CAST(day AS VARCHAR) AS day, id_a, id_b, {r6('v', 'sim')} FROM kept WHERE kind = 'tfidf'",
     "embedding_similarity": f"SELECT CAST(day AS VARCHAR) AS day, id_a, id_b, {r6('v', 'sim')} FROM kept WHERE kind = 'vector'",
     "combined_similarity": f"SELECT CAST(day AS VARCHAR) AS day, id_a, id_b, {r6('sim')} FROM combined",
-    "interval_similarity": f"""
-        SELECT id_a, id_b, {r6('least(v, 1.0)', 'sim')} FROM (
-            SELECT a.id AS id_a, b.id AS id_b, round(sum(a.w * b.w), 9) AS v
-            FROM weights a JOIN weights b ON a.kind = 'tfidf' AND b.kind = 'tfidf' AND a.term = b.term AND a.id < b.id
-            JOIN articles x ON x.id = a.id JOIN articles y ON y.id = b.id AND x.source <> y.source
-                 AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 1.5 * 86400e6
-            GROUP BY ALL)
-        WHERE v > 0.2""",
+    "interval_similarity": f"SELECT CAST(day AS VARCHAR) AS day, id_a, id_b, {r6('sim')} FROM window_combined",
     "day_gate": "SELECT CAST(day AS VARCHAR) AS day, n, n_sources FROM gated",
     "source_best_match": f"SELECT CAST(day AS VARCHAR) AS day, id, other_source, {r6('sim')}, other_id FROM best",
     "centrality": f"SELECT CAST(day AS VARCHAR) AS day, id, {CENTRALITY} FROM scores",
