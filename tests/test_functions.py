@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import boosts, text, urls
-from newsloom.operators.fuzzy import close_words, jaro_winkler
+from newsloom.operators.fuzzy import jaro_winkler, pair_bounds, pair_scores
 
 
 def apply(spark, function, values):
@@ -102,12 +103,15 @@ def test_jaro_winkler_known_values():
     assert jaro_winkler("été", "été") == 1.0
 
 
-def test_close_words_prunes_nothing_it_should_keep(spark, sf_dir):
+def test_scores_of_real_words_and_their_bounds(spark, sf_dir):
     words = (
         spark.read.parquet(f"{sf_dir}/documents.parquet")
         .select(F.explode(text.fuzzy_tokens(F.col("text"))).alias("w"))
         .distinct().orderBy("w").limit(1500).toPandas()["w"].tolist()
     )
     asked = words[::60]
-    brute = {(q, w) for q in asked for w in words if jaro_winkler(q, w) > 0.9}
-    assert {(q, w) for q, w, _ in close_words(asked, words, 0.9)} == brute
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(len(asked)), np.arange(len(words))))
+    scores = pair_scores(asked, words, left, right)
+    brute = [jaro_winkler(asked[i], words[j]) for i, j in zip(left, right, strict=True)]
+    assert np.abs(scores - brute).max() < 1e-12
+    assert (pair_bounds(asked, words, left, right) >= scores - 1e-12).all()
