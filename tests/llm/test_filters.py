@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import re
 
 import numpy as np
@@ -169,6 +170,39 @@ def test_importance_edges(small, spark):
     assert importance.importance_sample(small, labels.limit(0), fraction=1.0).where("NOT kept").count() == 0
 
 
+def test_importance_values_by_force(unique, spark):
+    """Words and word pairs counted one by one; only the bucket of a word or pair is taken from the module."""
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (5, 0, 0), (10, 1, 1), (15, 1, None)], "doc_id long, quality int, toxic int")
+    features = 997
+    texts = {r.doc_id: r.text or "" for r in unique.collect()}
+    known = {}
+
+    def buckets(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        for part in [*words, *(f"{a} {b}" for a, b in itertools.pairwise(words))]:
+            if part not in known:
+                known[part] = int(importance.feature_buckets(part.encode(), features)[-1])
+            yield known[part]
+
+    target, raw = [0] * features, [0] * features
+    for i, text in texts.items():
+        for b in buckets(text):
+            raw[b] += 1
+            target[b] += i in (1, 4, 15)
+    sums = [sum(target) + features, sum(raw) + features]
+    want = {
+        i: sum(math.log((target[b] + 1) / sums[0]) - math.log((raw[b] + 1) / sums[1]) for b in buckets(text)) for i, text in texts.items()
+    }
+    rows = importance.importance_sample(unique.selectExpr("*", "1 AS log_ratio"), labels, fraction=0.4, features=features).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        assert r.log_ratio == pytest.approx(want[r.doc_id], rel=1e-9, abs=1e-9)
+    keys = sorted((r.gumbel_key for r in rows), reverse=True)
+    assert all(r.kept == (r.gumbel_key >= keys[round(0.4 * len(rows)) - 1]) for r in rows)
+    noise = [r.gumbel_key - r.log_ratio for r in rows]
+    assert len(set(noise)) == len(rows) and all(math.isfinite(x) for x in noise)
+
+
 @pytest.mark.parametrize("k", [1, 2, 37, 100, 150])
 def test_kth_largest(spark, k):
     values = [float(i % 50) ** 3 for i in range(100)]
