@@ -367,12 +367,7 @@ def _weighted(spark, sf_dir) -> tuple[daily.Comparison, DataFrame]:
 @query
 def centroid_first(spark, sf_dir):
     compared, weighted = _weighted(spark, sf_dir)
-    cut = T.attach_thresholds(
-        T.make_tiles(T.with_blocks(weighted, compared.sizes), T.tile_partitions(compared.sizes)),
-        compared.thresholds,
-        compared.rules["kinds"],
-    )
-    gains = centroids.first_gains(cut, weighted, compared.rules)
+    gains = centroids.first_gains(compared.cut_tiles, weighted, compared.rules)
     first = F.min(F.struct((-F.col("gain")).alias("minus"), "id")).alias("first")
     return gains.groupBy("day").agg(first).select(
         day_text(), F.col("first.id").alias("id"), r6(-F.col("first.minus")).alias("gain")
@@ -382,7 +377,7 @@ def centroid_first(spark, sf_dir):
 @query
 def centroid_tags(spark, sf_dir):
     compared, weighted = _weighted(spark, sf_dir)
-    chosen = centroids.greedy_rounds(weighted, compared.sizes, compared.thresholds, compared.rules)
+    chosen = centroids.greedy_rounds(compared.cut_tiles, weighted, compared.sizes, compared.rules)
     tags = centroids.centroid_tags(chosen, compared.sizes)
     return tags.select(day_text(), "id", F.array_join("article_centroid_tags", ",").alias("tags"))
 
