@@ -11,7 +11,8 @@ from newsloom import fixtures as X
 from newsloom.functions import boosts, text, urls
 from newsloom.operators import ann, centroids, coverage, dedup, fuzzy, html, rerank, retrieval
 from newsloom.operators import tiles as T
-from newsloom.operators.features import SPARSE_KINDS, feature_table, similarity_texts, tfidf_weights, with_gazetteer
+from newsloom.operators.features import SPARSE_KINDS, entity_texts, feature_table, similarity_texts, tfidf_weights, with_gazetteer
+from newsloom.operators.gazetteer import phrase_entities, sentence_phrases
 from newsloom.plans import daily, historical, ingest
 from newsloom.plans import search as S
 from newsloom.plans.home import home_feed
@@ -92,6 +93,18 @@ def entity_gazetteer(spark, sf_dir):
     return tagged.select("id", F.array_join("entities", " ").alias("entities"))
 
 
+PHRASE_WORDS = 3
+
+
+def _gazetteer(spark, sf_dir) -> DataFrame:
+    return sentence_phrases(X.table(spark, sf_dir, "benchmark"), "text", PHRASE_WORDS)
+
+
+@query
+def entity_phrases(spark, sf_dir):
+    return phrase_entities(X.articles(spark, sf_dir), _gazetteer(spark, sf_dir), entity_texts())
+
+
 @query
 def char_ngrams(spark, sf_dir):
     words = X.articles(spark, sf_dir).select(F.explode_outer(text.search_words(F.col("article_text"))).alias("word"))
@@ -384,7 +397,16 @@ def centroid_tags(spark, sf_dir):
 
 @query
 def daily_analysis(spark, sf_dir):
-    updates = daily.analyse_days(X.articles(spark, sf_dir), X.corpus_idf(spark, sf_dir))
+    return _analysis(daily.analyse_days(X.articles(spark, sf_dir), X.corpus_idf(spark, sf_dir)))
+
+
+@query
+def gazetteer_analysis(spark, sf_dir):
+    articles, names = X.articles(spark, sf_dir), materialise(_gazetteer(spark, sf_dir), "gazetteer")
+    return _analysis(daily.analyse_days(articles, X.corpus_idf(spark, sf_dir), gazetteer=names))
+
+
+def _analysis(updates: DataFrame) -> DataFrame:
     return updates.select(
         day_text(),
         "id",

@@ -118,6 +118,22 @@ def entity_tokens(c: Column) -> Column:
     return F.filter(cleaned, lambda w: w != "")
 
 
+def marked_words(c: Column) -> Column:
+    """Per sentence its cleaned words: ``word``, ``capital``, and ``entity`` for those of :func:`entity_tokens`."""
+
+    def of_sentence(words: Column) -> Column:
+        second = F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+
+        def mark(w: Column, i: Column) -> Column:
+            capital = w.rlike(CAPITALISED)
+            entity = capital & ((i > 0) | second.rlike(CAPITALISED))
+            return F.struct(clean_entity_word(w).alias("word"), capital.alias("capital"), entity.alias("entity"))
+
+        return F.filter(F.transform(words, mark), lambda m: m["word"] != "")
+
+    return F.transform(F.transform(sentences(c), sentence_words), of_sentence)
+
+
 def lone_first_words(c: Column) -> Column:
     """The capitalised first words :func:`entity_tokens` leaves out."""
 

@@ -15,13 +15,17 @@ SPARSE_KINDS = ("tfidf", "title_ent", "text_ent")
 KINDS = (*SPARSE_KINDS, "vector")
 
 
+def entity_texts() -> dict[str, Column]:
+    """Text whose entity words make up a kind."""
+    return {"title_ent": F.col("article_title"), "text_ent": first_words(F.col("article_text"), ENTITY_TEXT_WORDS)}
+
+
 def similarity_texts() -> dict[str, Column]:
     """Text of each sparse kind.  Title and beginning are joined without a separator."""
-    title, text = F.col("article_title"), F.col("article_text")
+    title = F.col("article_title")
     return {
         "tfidf": F.concat(F.coalesce(title, F.lit("")), F.coalesce("article_text_beginning", F.lit(""))),
-        "title_ent": F.array_join(entity_tokens(title), " "),
-        "text_ent": F.array_join(entity_tokens(first_words(text, ENTITY_TEXT_WORDS)), " "),
+        **{kind: F.array_join(entity_tokens(text), " ") for kind, text in entity_texts().items()},
     }
 
 
@@ -120,10 +124,12 @@ def feature_table(
     idf: DataFrame | None,
     kinds: tuple[str, ...] = KINDS,
     source_col: str = "normalized_domain",
+    entities: DataFrame | None = None,
 ) -> DataFrame:
     """One row per article: ``day, id, source, ts`` and the arrays of the wanted kinds.
 
-    Articles without any known term keep a row with empty arrays.
+    Articles without any known term keep a row with empty arrays.  ``entities`` (``id`` and the entity words
+    of each entity kind) takes the place of the words found by capitals alone.
     """
     articles = articles.withColumn("day", F.to_date("publish_date"))
     base = articles.select(
@@ -136,5 +142,9 @@ def feature_table(
     texts = {k: t for k, t in similarity_texts().items() if k in kinds}
     if not texts:
         return base
+    if entities is not None:
+        named = [k for k in entity_texts() if k in kinds]
+        articles = articles.join(entities.select("id", *[F.col(k).alias(f"_{k}") for k in named]), "id", "left")
+        texts.update({k: F.coalesce(f"_{k}", F.lit("")) for k in named})
     # both sides are spread by id alone, so the weights are not shuffled again
     return base.join(tfidf_weights(articles, idf, texts).drop("day"), "id", "left")

@@ -83,6 +83,15 @@ def fuzzy_tokens(text: str) -> str:
     )
 
 
+def marked_words(words: str) -> str:
+    """Cleaned words of one sentence with their marks."""
+    return (
+        f"list_filter(list_transform({words}, lambda w, i: {{'word': lower(regexp_replace(w, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')), "
+        f"'capital': regexp_matches(w, '{CAPITALISED}'), 'entity': regexp_matches(w, '{CAPITALISED}') "
+        f"AND (i > 1 OR regexp_matches(coalesce({words}[2], ''), '{CAPITALISED}'))}}), lambda m: m.word <> '')"
+    )
+
+
 def url_domain(url: str) -> str:
     host = f"replace(replace(replace(lower({url}), 'https://', ''), 'http://', ''), 'www.', '')"
     return f"split_part(split_part(split_part({host}, '/', 1), '?', 1), '#', 1)"
@@ -215,6 +224,43 @@ PARTS: dict[str, str] = {
         UNION ALL SELECT day, id, 'title_ent', array_to_string({entities('article_title')}, ' ') FROM articles
         UNION ALL SELECT day, id, 'text_ent',
                array_to_string({entities(first_words('article_text', 300))}, ' ') FROM articles""",
+    "gazetteer": f"""
+        SELECT DISTINCT array_to_string(words[p:p + n - 1], ' ') AS phrase
+        FROM (SELECT words, unnest(range(1, len(words) + 1)) AS p
+              FROM (SELECT list_transform(ms, lambda m: m.word) AS words
+                    FROM (SELECT {marked_words('s')} AS ms FROM (SELECT unnest({sentence_words('text')}) AS s FROM benchmark)))),
+             (SELECT unnest([1, 2, 3]) AS n)
+        WHERE p + n - 1 <= len(words)""",
+    "entity_sentences": f"""
+        SELECT id, kind, s, {marked_words('sentence')} AS ms
+        FROM (SELECT id, kind, unnest(range(1, len(sentences) + 1)) AS s, unnest(sentences) AS sentence
+              FROM (SELECT id, 'title_ent' AS kind, {sentence_words('article_title')} AS sentences FROM articles
+                    UNION ALL
+                    SELECT id, 'text_ent', {sentence_words(first_words('article_text', 300))} FROM articles))""",
+    "entity_rows": """
+        SELECT id, kind, s, unnest(range(1, len(ms) + 1)) AS p, unnest(ms) AS m, list_transform(ms, lambda m: m.word) AS words
+        FROM entity_sentences""",
+    "phrase_hits": """
+        SELECT id, kind, s, p, max(n) AS n FROM entity_rows, (SELECT unnest([1, 2, 3]) AS n)
+        WHERE m.capital AND p + n - 1 <= len(words) AND array_to_string(words[p:p + n - 1], ' ') IN (SELECT phrase FROM gazetteer)
+        GROUP BY id, kind, s, p""",
+    "phrase_next": """
+        SELECT a.id AS id, a.kind AS kind, a.s AS s, a.p AS p, a.n AS n, min(b.p) AS following,
+               a.p = min(a.p) OVER (PARTITION BY a.id, a.kind, a.s) AS leads
+        FROM phrase_hits a LEFT JOIN phrase_hits b ON b.id = a.id AND b.kind = a.kind AND b.s = a.s AND b.p >= a.p + a.n
+        GROUP BY a.id, a.kind, a.s, a.p, a.n""",
+    "phrase_taken": """
+        WITH RECURSIVE walk AS (
+            SELECT id, kind, s, p, n, following FROM phrase_next WHERE leads
+            UNION ALL
+            SELECT x.id, x.kind, x.s, x.p, x.n, x.following
+            FROM walk w JOIN phrase_next x ON x.id = w.id AND x.kind = w.kind AND x.s = w.s AND x.p = w.following)
+        SELECT id, kind, s, p, n FROM walk""",
+    "entity_words": """
+        SELECT r.id AS id, r.kind AS kind, string_agg(r.m.word, ' ' ORDER BY r.s, r.p) AS words
+        FROM entity_rows r LEFT JOIN phrase_taken t
+             ON t.id = r.id AND t.kind = r.kind AND t.s = r.s AND r.p BETWEEN t.p AND t.p + t.n - 1
+        WHERE r.m.entity OR t.p IS NOT NULL GROUP BY r.id, r.kind""",
     "tf": f"""
         SELECT day, id, kind, term, count(*) AS tf
         FROM (SELECT day, id, kind, unnest({tokens('text')}) AS term FROM kind_texts) GROUP BY ALL""",
@@ -466,6 +512,10 @@ ORACLES: dict[str, str] = {
             FROM (SELECT id, unnest({lone_first_words('article_text')}) AS word FROM articles)
             WHERE word IN (SELECT unnest(regexp_extract_all(lower(text), '{WORD}')) FROM benchmark)
             GROUP BY id) k ON k.id = a.id""",
+    "entity_phrases": """
+        SELECT a.id AS id, coalesce(t.words, '') AS title_ent, coalesce(x.words, '') AS text_ent FROM articles a
+        LEFT JOIN entity_words t ON t.id = a.id AND t.kind = 'title_ent'
+        LEFT JOIN entity_words x ON x.id = a.id AND x.kind = 'text_ent'""",
     "char_ngrams": f"""SELECT word, array_to_string({grams('word')}, ' ') AS grams
         FROM (SELECT DISTINCT unnest({search_words('article_text')}) AS word FROM articles)""",
     "lang_detect": f"""SELECT id, {language("article_title || '. ' || article_text")} AS language FROM articles""",
@@ -549,6 +599,15 @@ ORACLES: dict[str, str] = {
         FROM scores s JOIN articles a ON a.id = s.id LEFT JOIN tagged t ON t.id = s.id
         LEFT JOIN (SELECT id, string_agg(other_id, ',' ORDER BY position) AS similar_ids FROM similar_rows GROUP BY id) m
         ON m.id = s.id""",
+    "gazetteer_analysis": f"""
+        SELECT CAST(s.day AS VARCHAR) AS day, s.id AS id,
+               trim(coalesce(e.words, '') || ' ' || coalesce(x.words, '')) AS article_entities,
+               coalesce(t.tags, '') AS tags, {CENTRALITY}, coalesce(m.similar_ids, '') AS similar_ids
+        FROM scores s LEFT JOIN tagged t ON t.id = s.id
+        LEFT JOIN entity_words e ON e.id = s.id AND e.kind = 'title_ent'
+        LEFT JOIN entity_words x ON x.id = s.id AND x.kind = 'text_ent'
+        LEFT JOIN (SELECT id, string_agg(other_id, ',' ORDER BY position) AS similar_ids FROM similar_rows GROUP BY id) m
+        ON m.id = s.id""",
     "home_feed": f"""
         SELECT id, {r6('score')}, array_to_string(tags, ',') AS tags FROM (
             SELECT id, tags, round((CASE WHEN list_has_any(tags, ['centroid_k5', 'centroid_k10', 'centroid_k20']) THEN 2.0 ELSE 0 END
@@ -638,5 +697,10 @@ _search("search_summary", """
 
 for _name in ("centroid_first", "centroid_tags", "daily_analysis"):
     _EXTRA[_name] = greedy_parts()
+_EXTRA["gazetteer_analysis"] = greedy_parts() | {
+    "kind_texts": """
+        SELECT day, id, 'tfidf' AS kind, article_title || article_text_beginning AS text FROM articles
+        UNION ALL SELECT a.day, a.id, e.kind, e.words FROM articles a JOIN entity_words e ON e.id = a.id"""
+}
 
 ORACLES = {name: chain(select, _EXTRA.get(name)) for name, select in ORACLES.items()}
