@@ -97,7 +97,7 @@ PHRASE_WORDS = 3
 
 
 def _gazetteer(spark, sf_dir) -> DataFrame:
-    return sentence_phrases(X.table(spark, sf_dir, "benchmark"), "text", PHRASE_WORDS)
+    return materialise(sentence_phrases(X.table(spark, sf_dir, "benchmark"), "text", PHRASE_WORDS), "gazetteer")
 
 
 @query
@@ -402,7 +402,7 @@ def daily_analysis(spark, sf_dir):
 
 @query
 def gazetteer_analysis(spark, sf_dir):
-    articles, names = X.articles(spark, sf_dir), materialise(_gazetteer(spark, sf_dir), "gazetteer")
+    articles, names = X.articles(spark, sf_dir), _gazetteer(spark, sf_dir)
     return _analysis(daily.analyse_days(articles, X.corpus_idf(spark, sf_dir), gazetteer=names))
 
 

@@ -158,6 +158,23 @@ def tag_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
 ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
+def without_steps(link: Column) -> Column:
+    """Address whose path has no ``.`` and ``..`` steps, however many there were; query and fragment stay."""
+    head = F.regexp_extract(link, "(?i)^(https?://[^/?#]*)", 1)
+    path = F.regexp_extract(link, "(?i)^https?://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(link, "(?s)^[^?#]*(.*)$", 1)
+    names = F.slice(F.split(path, "/"), 2, 1 << 30)
+    # a step at the end leaves its folder
+    names = F.when(path.rlike(r"/\.\.?$"), F.concat(names, F.array(F.lit("")))).otherwise(names)
+
+    def step(kept: Column, name: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(name == ".", kept).when(name == "..", up).otherwise(F.concat(kept, F.array(name)))
+
+    kept = F.aggregate(names, F.array().cast("array<string>"), step)
+    return F.when(path.contains("/."), F.concat(head, F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(link)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """Distinct links of each page that stay on its own site: ``url, link``.
 
@@ -181,17 +198,11 @@ def page_links(pages: DataFrame) -> DataFrame:
             .otherwise(F.concat("folder", href))
         )
 
-    def plain(link: Column) -> Column:
-        """Without ``./`` and ``name/../`` steps, up to eight of them."""
-        link = F.regexp_replace(link, r"/(?:\./)+", "/")
-        for _ in range(8):
-            link = F.regexp_replace(link, r"^(https?://[^/?#]+(?:/[^?#]*?)?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
-        return F.regexp_replace(link, r"^(https?://[^/?#]+)/(?:\.\./)+", "$1/")
-
     return (
         pages.select("url", root.alias("root"), page.alias("page"), folder.alias("folder"), hrefs.alias("href"))
         .select("url", "root", "page", "folder", address.alias("href"))
-        .select("url", plain(resolve(F.col("href"))).alias("link"))
+        .select("url", resolve(F.col("href")).alias("link"))
+        .select("url", without_steps(F.col("link")).alias("link"))
         .where(url_domain(F.col("link")) == url_domain(F.col("url")))
         .distinct()
     )

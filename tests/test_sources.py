@@ -1,6 +1,7 @@
 """Files in and out: link dumps, lists, HTML, the article table."""
 
 import gzip
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -300,3 +301,13 @@ def test_landed_pages_become_articles(spark, sf_dir, tmp_path):
     loops.stream_pages(landing, table, str(tmp_path / "state"), ["en", "de", "fr", "es"], "2024-01-05 00:00:00", sources=named).awaitTermination()
     rows = store.read_articles(spark, table).collect()
     assert rows and all(r["source_name"] == r["normalized_domain"].upper() and r["article_text"] for r in rows)
+
+
+def test_steps_of_any_number_are_resolved(spark):
+    """Against the resolution of the standard library, with more steps than names and steps at the end."""
+    paths = ["/a/b/../c", "/a/./b/.", "/a/b/..", "/..", "/../../x", "/a//../b", "/.hidden/..x/...", "/a?q=/../b", "/a/../b#/./c", "", "/"]
+    paths += ["/" + "n/" * 40 + "../" * k + "end" for k in (1, 9, 39, 40, 60)]
+    rows = spark.createDataFrame([(f"https://site.org{p}",) for p in paths] + [(None,)], "url string")
+    got = {r["url"]: r["link"] for r in rows.select("url", links.without_steps(F.col("url")).alias("link")).collect()}
+    assert got.pop(None) is None
+    assert got == {url: urljoin("https://site.org/", url[len("https://site.org") :] or "https://site.org") for url in got}
