@@ -13,7 +13,7 @@ QUICK = (
     "url_normalize tokens entity_tokens char_ngrams lang_detect link_filter new_urls_per_file html_extract "
     "build_articles dedup_new writeback tfidf_weights similarity_threshold interval_similarity similar_articles "
     "daily_analysis home_feed bm25_search vector_topk vector_ann_recall search_strict interleave stream_ingest stream_analysis "
-    "stream_day_counts"
+    "stream_day_counts entity_phrases gazetteer_analysis page_links"
 ).split()
 
 
