@@ -100,3 +100,50 @@ def test_more_articles_are_counted_in_more_tasks(spark, monkeypatch):
     assert "hashpartitioning(id" in counts._jdf.queryExecution().executedPlan().toString()
     assert ", 30)" in counts._jdf.queryExecution().executedPlan().toString()
     assert {(r["term"], r["tf"]) for r in counts.collect()} == {("word", 2), ("and", 1)} and counts.count() == 120
+
+
+def asked_of(texts):
+    asked = P.Asked()
+    for i, text in enumerate(texts):
+        found = list(dict.fromkeys(text))
+        asked.qids.append(str(i))
+        asked.word_terms.append(np.array([asked.words.setdefault(w, len(asked.words)) for w in found]))
+        grams = [w[j : j + n] for w in found for n in P.GRAM_SIZES for j in range(len(w) - n + 1)]
+        asked.gram_terms.append(np.array([asked.grams.setdefault(g, len(asked.grams)) for g in dict.fromkeys(grams)], np.int64))
+    return asked
+
+
+@pytest.mark.parametrize(("most", "cells"), [(P.KNOWN_WORDS, P.TABLE_CELLS), (50, 10)])
+def test_a_word_is_searched_for_terms_once(monkeypatch, most, cells):
+    """Counts are those of a plain count, also when words are forgotten and tables would be too large."""
+    monkeypatch.setattr(P, "KNOWN_WORDS", most)
+    monkeypatch.setattr(P, "TABLE_CELLS", cells)
+    monkeypatch.setattr(P, "CHUNK_ROWS", 100)
+    searched = []
+    plain = P._term_hits
+    monkeypatch.setattr(P, "_term_hits", lambda words, asked: searched.extend(words.to_pylist()) or plain(words, asked))
+    given = batch(2 * P.ROWS + 30)
+    asked = asked_of([words(4, seed, letters="abcdeé", longest=8) for seed in range(5)])
+    stored = pa.Table.from_batches(P._count_words(iter([given]))).combine_chunks().to_batches()[0]
+    rows = []
+    known = P._Known(asked)
+    for part, places in P._known_slices(iter([stored]), [known]):
+        row, number, term, count = P._term_counts(part, places[0], known, P.FIELDS)
+        rows += [{} for _ in range(part.num_rows)]
+        for r, f, t, n in zip(row + len(rows) - part.num_rows, number, term, count, strict=True):
+            rows[r][int(f), int(t)] = int(n)
+    assert most == 50 or len(searched) == len(set(searched)) > 0
+    df = {}
+    for i, got in enumerate(rows):
+        want = {}
+        for number, name in enumerate(P.FIELDS):
+            for word in given.column(number)[i].as_py() or ():
+                terms = [asked.words[word]] if word in asked.words and name in P.WORD_FIELDS else []
+                grams = [word[j : j + n] for n in P.GRAM_SIZES for j in range(len(word) - n + 1)]
+                for term in terms + [len(asked.words) + asked.grams[g] for g in grams if g in asked.grams]:
+                    want[number, term] = want.get((number, term), 0) + 1
+        assert got == want
+        for key in want:
+            df[key] = df.get(key, 0) + 1
+    (counted,) = P._count_documents([asked], P.FIELDS)(iter([stored]))
+    assert df == {divmod(c, asked.n_terms): n for c, n in zip(counted["cell"].to_pylist(), counted["n"].to_pylist(), strict=True)}
