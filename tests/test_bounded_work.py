@@ -147,3 +147,12 @@ def test_a_word_is_searched_for_terms_once(monkeypatch, most, cells):
             df[key] = df.get(key, 0) + 1
     (counted,) = P._count_documents([asked], P.FIELDS)(iter([stored]))
     assert df == {divmod(c, asked.n_terms): n for c, n in zip(counted["cell"].to_pylist(), counted["n"].to_pylist(), strict=True)}
+
+
+def test_a_search_for_words_leaves_the_full_text_alone(spark):
+    """Whole words do not count in the full text, so without n-grams its words are neither found nor written."""
+    row = ("a", "one", "one two", "one two three", "src", ["author"])
+    articles = spark.createDataFrame([row], "id string, article_title string, article_text_beginning string, article_text string, source_name string, article_authors array<string>")
+    stored = P.postings(articles, fields=P.WORD_FIELDS).first()
+    assert sorted(stored["words"]) == ["author", "one", "src", "two"] and P.FIELDS.index("article_text") not in stored["fields"]
+    assert "three" in P.postings(articles).first()["words"]
