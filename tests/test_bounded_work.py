@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from newsloom.operators import features, fuzzy
+from newsloom.operators import features, fuzzy, retrieval
 from newsloom.operators import postings as P
 
 
@@ -156,3 +156,41 @@ def test_a_search_for_words_leaves_the_full_text_alone(spark):
     stored = P.postings(articles, fields=P.WORD_FIELDS).first()
     assert sorted(stored["words"]) == ["author", "one", "src", "two"] and P.FIELDS.index("article_text") not in stored["fields"]
     assert "three" in P.postings(articles).first()["words"]
+
+
+def test_best_hits_are_sorted_in_when_enough_wait(monkeypatch):
+    """The best of all batches, with ties by id and open, bad and given ends; a batch does not sort in every query."""
+    rng = random.Random(9)
+    asked = asked_of([["w"]] * 4)
+    asked.extra = {"target": [0] * 4, "low": [None, 40, None, (1 << 63) - 1], "high": [None, None, 60, None], "vector": [None] * 4}
+    monkeypatch.setattr(retrieval, "_cosines", lambda asked, column: np.zeros((4, len(column))))
+    sorted_in = []
+    plain = retrieval._Best.sort_in
+    monkeypatch.setattr(retrieval._Best, "sort_in", lambda self, i: sorted_in.append(i) or plain(self, i))
+    kernel, state, want = retrieval._best_hits(5), {}, [[] for _ in range(4)]
+    for b in range(20):
+        ids = [f"{b:02}{i}" for i in range(3)]
+        ts = [rng.choice([None, *range(100)]) for _ in ids]
+        given = pa.RecordBatch.from_pydict({"id": ids, "ts": pa.array(ts, pa.int64()), "bonus": [0.0] * 3, "central": [1.0] * 3, "vector": [None] * 3})
+        scores = np.array([[float(rng.randint(0, 3)) for _ in ids] for _ in range(4)])
+        assert not list(kernel(given, asked, (scores, np.zeros((4, 3)), np.zeros((4, 3))), state))
+        for q in range(4):
+            for i, t, score in zip(ids, ts, scores[q]):
+                low, high = asked.extra["low"][q], asked.extra["high"][q]
+                if score and (low is None or t is not None and t >= low) and (high is None or t is not None and t <= high):
+                    want[q].append((-round(score * (3 if t is not None else 2) * 3, 9), i))
+    assert len(sorted_in) < 4 * 20 / 2
+    rows = pa.Table.from_batches(kernel(None, None, None, state)).to_pylist()
+    for q in range(4):
+        assert [(-r["score"], r["id"]) for r in rows if r["qid"] == str(q)] == sorted(want[q])[:5]
+    assert len(want[0]) > 5 and not want[3]
+
+
+def test_known_pairs_are_not_copied_for_every_article(monkeypatch):
+    copied = []
+    plain = np.concatenate
+    monkeypatch.setattr(fuzzy.np, "concatenate", lambda x, *a, **b: copied.append(1) or plain(x, *a, **b))
+    pairs = fuzzy._Pairs(words(5, 3, longest=9), 1 << 20)
+    for seed in range(100):
+        pairs.add(words(3, seed, longest=30))
+    assert len(copied) < 30 and len(pairs.words) == len(pairs.bounds) == len(pairs.scores)
