@@ -6,8 +6,8 @@ so any finite set of words maps to its rows of ids.  The compiled tables are fla
 worker maps into memory.  Words outside the lexicon are merged exactly by the rank of their pairs.
 
 Text is cut at single blanks.  A blank after a non-blank always starts a new pre-token, and nothing left
-of it or right of the next such blank decides how the piece between them is cut; so the ids of such a
-piece can be remembered, and the pattern of the tokenizer runs once per distinct piece and memory.
+of it or right of the next such blank decides how the piece between them is cut; so many texts are cut into
+pieces at once, a distinct piece of them is cut and looked up once, and ids are put together as arrays.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 
@@ -34,9 +37,12 @@ PLAIN_PATTERN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ɏ]+| ?[0-9]+
 # ASCII without the separators that only Python counts as blank, Latin letters, dashes and quotes
 NOT_PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ɏ‐-‧]")
 # where a cut at single blanks would not be independent
-CROWDED = re.compile(r" \s|\s ")
+CROWDED = re.compile(" {0}|{0} ".format("[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"))
+# other blanks of plain texts: a run of them between two characters that are not blank starts a pre-token, too
+LINE_ENDS = ("\t", "\n", "\x0b", "\x0c", "\r")
 assert array("I").itemsize == 4 and sys.byteorder == "little"
-REMEMBERED = 300_000
+# characters of the texts that are cut together, if there are several
+TOGETHER = 1 << 20
 LONG_BLANK = re.compile(r"\s{500}")
 _NONE = 1 << 30
 
@@ -215,6 +221,9 @@ class Transducer:
             at += n
         self.first, self.label, self.target, self.before, self.final, self.offsets, self.ids = parts
         self.root = words[7]
+        # state and label of every arc as one rising number, and one that no arc has
+        states = np.repeat(np.arange(len(self.final), dtype=np.int64), np.diff(np.asarray(self.first)))
+        self.arc_keys = np.append((states << 8) | np.asarray(self.label), np.iinfo(np.int64).max)
 
     @classmethod
     def compile(cls, words: Iterable[tuple[bytes, list[int]]]) -> bytes:
@@ -279,6 +288,36 @@ class Transducer:
             return None
         return self.ids[self.offsets[number] : self.offsets[number + 1]].tobytes()
 
+    def find_many(self, words: pa.Array, after: bytes = b"") -> np.ndarray:
+        """Number of every word with ``after`` before it, -1 for one that was not compiled.
+
+        All words walk at once, a byte per round, and leave where no arc goes on.
+        """
+        data, offsets = utf8(words)
+        out = np.full(len(words), -1, np.int64)
+        rows, at, end = np.arange(len(words)), offsets[:-1], offsets[1:]
+        state, number = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        target, before, final = np.asarray(self.target), np.asarray(self.before), np.asarray(self.final)
+        depth = 0
+        while len(rows):
+            if depth < len(after):
+                label = np.full(len(rows), after[depth])
+            else:
+                ended = at == end
+                if ended.any():
+                    out[rows[ended]] = np.where(final[state[ended]], number[ended], -1)
+                    rows, at, end, state, number = (a[~ended] for a in (rows, at, end, state, number))
+                label = data[at]
+                at = at + 1
+            key = (state << 8) | label
+            arc = np.searchsorted(self.arc_keys, key)
+            goes = self.arc_keys[arc] == key
+            arc = arc[goes]
+            rows, at, end = rows[goes], at[goes], end[goes]
+            state, number = target[arc].astype(np.int64), number[goes] + before[arc]
+            depth += 1
+        return out
+
     @property
     def n_states(self) -> int:
         return len(self.final)
@@ -292,77 +331,133 @@ def mapped(tables: bytes) -> mmap.mmap:
     return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
 
 
+def utf8(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of an Arrow column of strings without nulls, and where each string starts; the last entry is the end."""
+    blob = words.cast(pa.large_binary())
+    offsets = np.frombuffer(blob.buffers()[1], np.int64)[blob.offset : blob.offset + len(blob) + 1] if len(blob) else np.zeros(1, np.int64)
+    return np.frombuffer(blob.buffers()[2] or b"", np.uint8), offsets
+
+
+def taken(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that start at ``starts``, one behind the other."""
+    before = np.cumsum(lengths) - lengths
+    return values[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+
+def listed(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def column(words: Iterable[str]) -> pa.Array:
+    return pa.array(words if isinstance(words, list) else list(words), pa.large_string())
+
+
+def found(pattern: re.Pattern, texts: pa.Array) -> np.ndarray:
+    """Whether ``pattern`` is found in each text."""
+    return np.asarray(pc.match_substring_regex(texts, pattern.pattern).to_numpy(zero_copy_only=False), bool)
+
+
+def at_blanks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, list[str]]:
+    """Texts cut at every blank: distinct pieces, their numbers in the order of the texts, where each text starts
+    (the last entry is the end), and the first piece of each text, which has no blank before it."""
+    cut = pc.split_pattern(texts, " ")
+    coded = cut.flatten().dictionary_encode()
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    heads = coded.dictionary.take(coded.indices.take(pa.array(starts[:-1])))
+    return coded.dictionary, np.array(coded.indices), starts, listed(heads)
+
+
+def together(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in groups of at most about TOGETHER characters, or one text."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
+
+
 class Encoder:
     """Texts to packed ids (little-endian unsigned 32-bit), exactly as the vocabulary's own tokenizer.
 
-    ``find`` gives the packed ids of a pre-token of the lexicon, or None.  Pieces and words are remembered
-    up to a fixed number.
+    ``lexicon`` has the ids of frequent pre-tokens; all others are merged.
     """
 
-    def __init__(self, vocabulary: Vocabulary, find: Callable[[bytes], bytes | None] | None = None, remembered: int = REMEMBERED):
-        self.vocabulary, self.find, self.remembered = vocabulary, find, remembered
-        self.memory: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # pieces without the blank before them
+    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None = None):
+        self.vocabulary, self.lexicon = vocabulary, lexicon
         self.special = {c: array("I", [i]).tobytes() for c, i in vocabulary.special.items()}
         self.library = library_encoding(vocabulary)
         self.token_bytes = np.array([len(vocabulary.bytes_of.get(i, b"")) for i in range(max(vocabulary.bytes_of) + 1)], np.int64)
 
-    def _learn(self, pieces: Iterable[str], plain: Iterable[str]) -> None:
-        """Remembers the packed ids of pieces and their words: lexicon first, all other words merged together.
+    def _ids_of_words(self, words: pa.Array, blank: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, lexicon first, all other words merged together; with ``blank`` they are words of
+        letters, and a blank stands before each.
 
-        ``plain`` pieces come from texts of plain characters only.
+        Many ids, and where in them those of each word start and how many they are.
         """
-        memory = self.memory
-        composed = {}
-        unknown = set()
-        for group, cut in (pieces, pretokens), (plain, PLAIN_PATTERN.findall):
-            for piece in group:
-                if piece.startswith(" ") and piece[1:].isalpha():
-                    unknown.add(piece)  # one word
-                else:
-                    composed[piece] = parts = cut(piece)
-                    unknown.update(parts)
-        unseen = unknown.difference(memory)
-        if self.find:
-            known, unseen = unseen, []
-            for word in known:
-                if (found := self.find(word.encode())) is None:
-                    unseen.append(word)
-                else:
-                    memory[word] = found
-        if self.library:
-            letters = [w for w in unseen if w.removeprefix(" ").isalpha()]
-            memory.update(zip(letters, self._merge_letters(letters), strict=True))
-            unseen = [w for w in unseen if w not in memory]
-        unseen = list(unseen)
-        memory.update(zip(unseen, self.vocabulary.merge_many([w.encode() for w in unseen]), strict=True))
-        for piece, parts in composed.items():
-            memory[piece] = b"".join([memory[word] for word in parts])
-
-    def _merge_letters(self, words: list[str]) -> Iterator[bytes]:
-        """Packed ids of words of letters, with or without a blank before them, merged in one call.
+        starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        values = []
+        unseen = np.arange(len(words))
+        if self.lexicon:
+            number = self.lexicon.find_many(words, b" " if blank else b"")
+            known, unseen = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
+            offsets = np.asarray(self.lexicon.offsets).astype(np.int64)
+            starts[known], lengths[known] = offsets[number[known]], np.diff(offsets)[number[known]]
+            values.append(np.asarray(self.lexicon.ids))
+        new = words.take(pa.array(unseen))
+        if blank:
+            new = pc.binary_join_element_wise(pa.scalar("", new.type), new, pa.scalar(" ", new.type))
+        if not self.library:
+            of_letters = np.zeros(len(new), bool)
+        else:
+            of_letters = np.ones(len(new), bool) if blank else np.array([w.removeprefix(" ").isalpha() for w in listed(new)], bool)
+        for members, merged in (of_letters, self._merge_letters), (~of_letters, self._merge_others):
+            if members.any():
+                ids, first, n = merged(new.filter(pa.array(members)))
+                starts[unseen[members]], lengths[unseen[members]] = first + sum(map(len, values)), n
+                values.append(ids)
+        return np.concatenate([*values, np.zeros(0, np.uint32)]), starts, lengths
+
+    def _merge_letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words of letters, with or without a blank before them, merged in one call.
 
         A line feed between two such words is a pre-token of its own, so the ends of the tokens tell the
         ids of one word from those of the next.
         """
-        ids = self.library.encode_to_numpy("\n".join(words), disallowed_special=()).astype("<u4")
+        ids = self.library.encode_to_numpy("\n".join(listed(words)), disallowed_special=()).astype(np.uint32)
         ends = np.cumsum(self.token_bytes[ids])
-        sizes = np.array([len(w.encode()) for w in words], np.int64)
+        sizes = np.diff(utf8(words)[1])
         starts = np.cumsum(sizes + 1) - sizes - 1
         low, high = np.searchsorted(ends, starts, "right"), np.searchsorted(ends, starts + sizes, "right")
-        packed = ids.tobytes()
-        return (packed[4 * a : 4 * b] for a, b in zip(low.tolist(), high.tolist(), strict=True))
-
-    def _pieces(self, text: str) -> list[str] | tuple[str, list[str]]:
-        """Pieces of a text; as head and rest if all of the rest follow a single blank that is left out."""
-        if not text:
-            return []
-        if NOT_PLAIN.search(text):
-            return pretokens(text)
-        if CROWDED.search(text):
-            return re.findall(r"\s*\S+|\s+", text)
-        rest = text.split(" ")
-        return rest.pop(0), rest
+        return ids, low, high - low
+
+    def _merge_others(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        merged = self.vocabulary.merge_many([w.encode() for w in listed(words)])
+        lengths = np.array([len(m) // 4 for m in merged], np.int64)
+        return np.frombuffer(b"".join(merged), "<u4"), np.cumsum(lengths) - lengths, lengths
+
+    def _ids_of_pieces(self, after_blank: pa.Array, whole: pa.Array, cut: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for pieces of plain characters, first those that follow a blank, and for pre-tokens of other texts."""
+        one_word = np.asarray(pc.utf8_is_alpha(after_blank).to_numpy(zero_copy_only=False), bool)
+        values, first, n = self._ids_of_words(after_blank.filter(pa.array(one_word)), blank=True)
+        composed = listed(after_blank.filter(pa.array(~one_word)))
+        parts = [PLAIN_PATTERN.findall(piece if piece.startswith(LINE_ENDS) else " " + piece) for piece in composed]
+        parts += map(PLAIN_PATTERN.findall, listed(whole))
+        parts += ([word] for word in listed(cut))
+        words = column(chain.from_iterable(parts)).dictionary_encode()
+        order = np.asarray(words.indices)
+        ids, at, size = self._ids_of_words(words.dictionary)
+        size = size[order]
+        ids = taken(ids, at[order], size)
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, parts)])]
+        where = np.concatenate([np.flatnonzero(one_word), np.flatnonzero(~one_word), len(one_word) + np.arange(len(whole) + len(cut))])
+        starts, lengths = np.empty(len(where), np.int64), np.empty(len(where), np.int64)
+        starts[where] = np.concatenate([first, ends[:-1] + len(values)])
+        lengths[where] = np.concatenate([n, np.diff(ends)])
+        return np.concatenate([values, ids]), starts, lengths
 
     def _parts(self, text: str) -> Iterator[str | bytes]:
         """Plain parts of a text as strings, special tokens as packed ids."""
@@ -374,36 +469,43 @@ class Encoder:
             at = match.end()
         yield text[at:]
 
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        # per text the packed ids of its special tokens and the numbers of its other parts
+        mine: list[list[int | bytes]] = []
+        parts: list[str] = []
+        for text in texts:
+            mine.append([])
+            for part in self._parts(text):
+                mine[-1].append(part if isinstance(part, bytes) else len(parts))
+                if not isinstance(part, bytes):
+                    parts.append(part)
+        texts = column(parts)
+        plain = ~found(NOT_PLAIN, texts)
+        spaced = plain & ~found(CROWDED, texts)
+        kinds = [np.flatnonzero(kind) for kind in (spaced, plain & ~spaced, ~plain)]
+        # cut before other blanks as well: a piece that begins with one has no single blank before it
+        spaced = pc.replace_substring_regex(texts.take(pa.array(kinds[0])), "([\t-\r]+)", r" \1")
+        after_blank, codes, starts, heads = at_blanks(spaced)
+        crowded = [re.findall(r"\s*\S+|\s+", parts[i]) for i in kinds[1]]
+        cut = [pretokens(parts[i]) for i in kinds[2]]
+        whole = column(chain(heads, *crowded)).dictionary_encode()
+        words = column(chain(*cut)).dictionary_encode()
+        numbers = np.asarray(whole.indices) + len(after_blank)
+        codes[starts[:-1]] = numbers[: len(heads)]
+        codes = np.concatenate([codes, numbers[len(heads) :], np.asarray(words.indices) + len(after_blank) + len(whole.dictionary)])
+        starts = np.concatenate([starts, starts[-1] + np.cumsum([*map(len, crowded), *map(len, cut)], dtype=np.int64)])
+        values, at, n = self._ids_of_pieces(after_blank, whole.dictionary, words.dictionary)
+        values = values.astype("<u4")
+        blocks = (codes[i : i + (1 << 18)] for i in range(0, len(codes), 1 << 18))
+        packed = b"".join([taken(values, at[block], n[block]).tobytes() for block in blocks])
+        ends = (4 * np.concatenate([[0], np.cumsum(n[codes])])[starts]).tolist()
+        place = np.empty(len(parts), np.int64)
+        place[np.concatenate(kinds)] = np.arange(len(parts))
+        of_part = [packed[ends[i] : ends[i + 1]] for i in place.tolist()]
+        return [b"".join([p if isinstance(p, bytes) else of_part[p] for p in own]) for own in mine]
+
     def encode_many(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [[p if isinstance(p, bytes) else self._pieces(p) for p in self._parts(text)] for text in texts]
-        whole: set[str] = set()
-        after_blank: set[str] = set()
-        for parts in cut:
-            for part in parts:
-                if isinstance(part, tuple):
-                    whole.add(part[0])
-                    after_blank.update(part[1])
-                elif isinstance(part, list):
-                    whole.update(part)
-        memory, spaced = self.memory, self.spaced
-        new = after_blank.difference(spaced)
-        if len(memory) + len(spaced) + len(whole) + 2 * len(new) > self.remembered:
-            memory.clear()
-            spaced.clear()
-            new = after_blank
-        named = [" " + piece for piece in new]
-        self._learn(whole.difference(memory), named)
-        # with their blank, pieces that are no words are not asked for again
-        for piece, name in zip(new, named, strict=True):
-            spaced[piece] = memory.pop(name) if piece.isalpha() and name not in whole else memory[name]
-        at, after = memory.__getitem__, spaced.__getitem__
-
-        def packed(part) -> bytes:
-            if isinstance(part, tuple):
-                return at(part[0]) + b"".join(map(after, part[1]))
-            return part if isinstance(part, bytes) else b"".join(map(at, part))
-
-        return [b"".join(map(packed, parts)) for parts in cut]
+        return [packed for group in together(texts) for packed in self._encode_group(group)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
@@ -421,12 +523,11 @@ def library_of(vocabulary: Vocabulary) -> Callable[[str], bytes] | None:
 
 
 def encoder_of(vocabulary: Vocabulary, lexicon: bytes | None) -> Encoder:
-    """The encoder of a worker, kept with its memory for the next tasks."""
+    """The encoder of a worker, kept for the next tasks."""
     key = (id(vocabulary), hash(lexicon))
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        find = None if lexicon is None else Transducer(mapped(lexicon)).find
-        _ENCODERS[key] = Encoder(vocabulary, find)
+        _ENCODERS[key] = Encoder(vocabulary, None if lexicon is None else Transducer(mapped(lexicon)))
     return _ENCODERS[key]
 
 
@@ -451,24 +552,38 @@ class Decoder:
         return b"".join(parts).decode("utf-8", "replace")
 
 
-def words_of(texts: Iterable[str], vocabulary: Vocabulary) -> Iterator[tuple[str, int]]:
-    """(pre-token, count) over all texts, with equal pieces cut only once."""
+def summed(words: list[pa.Array], counts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words of several columns and the sums of their counts."""
+    coded = pa.concat_arrays(words).dictionary_encode()
+    sums = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(sums, np.asarray(coded.indices), np.concatenate(counts))
+    return coded.dictionary, sums
+
+
+def words_of(texts: Iterable[str], vocabulary: Vocabulary) -> tuple[pa.Array, np.ndarray]:
+    """Distinct pre-tokens of all texts and their counts, with equal pieces cut only once."""
+    pattern = vocabulary.special_pattern
     whole: Counter[str] = Counter()
-    after_blank: Counter[str] = Counter()
-    for text in texts:
-        for part in vocabulary.special_pattern.split(text) if vocabulary.special_pattern else [text]:
-            if CROWDED.search(part):
-                whole[part] += 1
-            else:
-                rest = part.split(" ")
-                whole[rest.pop(0)] += 1
-                after_blank.update(rest)
-    words: dict[str, int] = {}
-    for blank, counts in ("", whole), (" ", after_blank):
-        for piece, n in counts.items():
-            for word in (blank + piece,) if blank and piece.isalpha() else pretokens(blank + piece):
-                words[word] = words.get(word, 0) + n
-    yield from words.items()
+    distinct, times = [column([])], [np.zeros(0, np.int64)]
+    for group in together(texts):
+        parts = column(part for text in group for part in (pattern.split(text) if pattern else [text]))
+        crowded = found(CROWDED, parts)
+        after_blank, codes, starts, heads = at_blanks(parts.filter(pa.array(~crowded)))
+        whole.update(heads)
+        whole.update(listed(parts.filter(pa.array(crowded))))
+        counts = np.bincount(codes, minlength=len(after_blank)) - np.bincount(codes[starts[:-1]], minlength=len(after_blank))
+        distinct.append(after_blank.filter(pa.array(counts > 0)))
+        times.append(counts[counts > 0])
+    after_blank, counts = summed(distinct, times)
+    one_word = np.asarray(pc.utf8_is_alpha(after_blank).to_numpy(zero_copy_only=False), bool)
+    composed: dict[str, int] = {}
+    spaced = zip((" " + piece for piece in listed(after_blank.filter(pa.array(~one_word)))), counts[~one_word].tolist(), strict=True)
+    for piece, n in chain(spaced, whole.items()):
+        for word in pretokens(piece):
+            composed[word] = composed.get(word, 0) + n
+    blank, nothing = pa.scalar(" ", after_blank.type), pa.scalar("", after_blank.type)
+    words = pc.binary_join_element_wise(nothing, after_blank.filter(pa.array(one_word)), blank)
+    return summed([words, column(composed)], [counts[one_word], np.array(list(composed.values()), np.int64)])
 
 
 def library_encoding(vocabulary: Vocabulary) -> tiktoken.Encoding | None:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +24,9 @@ def vocabulary_file(path: str) -> bytes:
 
 def _count_kernel(file, word_bytes: int):
     def counted(texts, vocabulary) -> pa.RecordBatch:
-        found = [(w, n) for w, n in words_of(texts, vocabulary) if len(w) <= word_bytes and len(w.encode()) <= word_bytes]
-        words, counts = zip(*found, strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
+        words, counts = words_of(texts, vocabulary)
+        short = pc.less_equal(pc.binary_length(words), word_bytes)
+        return pa.RecordBatch.from_arrays([words.filter(short).cast(pa.string()), pa.array(counts).filter(short)], ["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(file.value)
@@ -34,11 +35,12 @@ def _count_kernel(file, word_bytes: int):
             for text in strings(batch.column(0)):
                 texts.append(text)
                 size += len(text)
-                if size > 1 << 24:
+                if size > 1 << 23:
                     yield counted(texts, vocabulary)
                     texts, size = [], 0
         if texts:
             yield counted(texts, vocabulary)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
@@ -67,16 +69,29 @@ def build_lexicon(docs: DataFrame, vocabulary: bytes, words: int = LEXICON_WORDS
     return Transducer.compile(sorted((raw, merge(raw)) for raw in (r.word.encode() for r in counts.select("word").collect())))
 
 
+def portions(batches: Iterable[pa.RecordBatch], text_at: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices with texts of at most ``size`` bytes, or one row: a word that many of them have is looked up once."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, size + (ends[at - 1] if at else 0), "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _encode_kernel(file, tables, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(file.value)
         library = library_of(vocabulary) if tables is None else None
         encoder = None if library else encoder_of(vocabulary, None if tables is None else tables.value)
-        for batch in pieces(batches, 512):
+        for batch in portions(batches, text_at):
             texts = strings(batch.column(text_at))
             packed = list(map(library, texts)) if library else encoder.encode_many(texts)
             kept = [c for i, c in enumerate(batch.columns) if i != text_at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary())], names)
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,6 +19,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 FILE = tokenize.vocabulary_file(PATH)
 VOCABULARY = bpe.Vocabulary(FILE)
 THEIRS = Tokenizer.from_file(PATH)
+ENCODERS = bpe.Encoder(VOCABULARY), bpe.Encoder(VOCABULARY)
 
 
 def ids_of(text):
@@ -63,6 +65,59 @@ def test_transducer_shares_suffixes():
     assert bpe.Transducer(bpe.Transducer.compile(words)).n_states == 5
 
 
+@settings(deadline=None, max_examples=100)
+@given(st.sets(st.text("ab é", min_size=1, max_size=5), max_size=30), st.lists(st.text("ab é", max_size=5), max_size=30))
+def test_words_walk_together_as_one_by_one(words, asked):
+    compiled = sorted((w.encode(), [i]) for i, w in enumerate(words))
+    lexicon = bpe.Transducer(bpe.Transducer.compile(compiled))
+    numbers = {raw: i for i, (raw, _) in enumerate(compiled)}
+    asked += words
+    for after in ("", " "):
+        got = lexicon.find_many(bpe.column(asked), after.encode()).tolist()
+        assert got == [numbers.get((after + w).encode(), -1) for w in asked]
+        assert [n >= 0 for n in got] == [lexicon.find((after + w).encode()) is not None for w in asked]
+
+
+@settings(deadline=None, max_examples=200)
+@given(
+    st.lists(st.text(st.sampled_from("ab  \n\t\r'sdl.!19é ßñ—“²½\u00a0\u3000中٣\x1c\x85_-😀×ª"), max_size=15).flatmap(
+        lambda text: st.sampled_from([text, f"{text}<|endoftext|>{text}", f"old {text} wall the"])), max_size=8),
+    st.sampled_from([1, 20, 1000]),
+)
+def test_texts_encoded_together_are_as_one_by_one(texts, together):
+    words = ["a", " a", " the", " wall", "old", " sd", "\n", " é"]
+    lexicon = bpe.Transducer(bpe.Transducer.compile(sorted((w.encode(), VOCABULARY.merge(w.encode())) for w in words)))
+    before, bpe.TOGETHER = bpe.TOGETHER, together
+    try:
+        assert ENCODERS[0].encode_many(texts) == [packed(ids_of(t)) for t in texts]
+        ENCODERS[1].lexicon = lexicon
+        assert ENCODERS[1].encode_many(texts) == [packed(ids_of(t)) for t in texts]
+    finally:
+        bpe.TOGETHER = before
+
+
+def test_a_word_of_many_texts_is_looked_up_and_merged_once(monkeypatch):
+    """Texts are encoded together: work per distinct word, not a walk in Python per word and small batch."""
+    known = [" " + w for w in ("river", "stone", "garden")]
+    lexicon = bpe.Transducer(bpe.Transducer.compile(sorted((w.encode(), VOCABULARY.merge(w.encode())) for w in known)))
+    encoder = bpe.encoder_of(VOCABULARY, None)
+    monkeypatch.setattr(encoder, "lexicon", lexicon, raising=False)
+    asked, merged = [], []
+    find_many, merge_letters = lexicon.find_many, encoder._merge_letters
+    monkeypatch.setattr(lexicon, "find_many", lambda words, after: asked.extend((after, w) for w in words.to_pylist()) or find_many(words, after))
+    monkeypatch.setattr(encoder, "_merge_letters", lambda words: merged.extend(words.to_pylist()) or merge_letters(words))
+    texts = [f"river stone garden qxqa qxqb {i % 7}" for i in range(3000)]
+    assert encoder.encode_many(texts) == [packed(ids_of(t)) for t in texts]
+    assert len(asked) == len(set(asked)) < 20 and sorted(merged) == [" qxqa", " qxqb", "river"]
+
+
+def test_portions_hold_texts_of_a_bounded_size():
+    texts = ["é" * 3, None, "", "x" * 30, "ab", "cd" * 4, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["z", *texts, "z"])], ["n", "text"]).slice(1, 7)
+    cut = list(tokenize.portions([batch, batch.slice(0, 0)], 1, 10))
+    assert [p.column(1).to_pylist() for p in cut] == [texts[:3], texts[3:4], texts[4:]]
+
+
 def test_encode_and_decode_tables(small):
     lexicon = tokenize.build_lexicon(small, FILE, words=50)
     rows = tokenize.decode(tokenize.encode(small, FILE, lexicon), FILE).collect()
