@@ -63,3 +63,36 @@ def test_embedding_similarity_returns_every_pair_with_its_similarity(spark, tmp_
     assert len(got) == len(mine) and got.keys() == want.keys() and len(got) > 20
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in got)
     assert difference(mine, by_sql(folder, "embedding_similarity")) is None
+
+
+def test_interval_links_reach_over_a_day(spark, tmp_path):
+    """Articles of the days before and after a day, 30 hours apart, are linked in the window of that day."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron sigma omega".split()
+    texts, times = [], []
+    for i in range(24):
+        # every third article is of the middle day, and only the outer ones share their words
+        day = i % 3
+        texts.append(f"rivers {words[i // 3]} {words[i // 3]} bridge" if day != 1 else f"market {words[i // 3 + 6]} town")
+        times.append(START + day * DAY + datetime.timedelta(hours=(20, 12, 2)[day]))
+    folder = written(tmp_path, times, texts, [None] * 24)
+    mine = entry.queries()["interval_similarity"](spark, folder).toPandas()
+    assert difference(mine, by_sql(folder, "interval_similarity")) is None
+    middle = mine[mine.day == str((START + DAY).date())].set_index("id")
+    outer = [f"{i:012}" for i in range(24) if i % 3 != 1]
+    assert len(middle) == 24 and (middle.loc[outer].n_links > 0).all()
+
+
+def test_a_link_of_a_small_share_counts():
+    """Half of a billionth in one kind alone is no similarity on the grid, but a kept cell."""
+    from newsloom.operators import tiles as T
+
+    rules = T.make_rules(T.KINDS)
+    none = {k: (np.zeros(1, np.int32), np.zeros(0), None if k == "vector" else np.zeros(0, np.int32)) for k in T.KINDS}
+
+    def side(weight, source):
+        lists = none | {"title_ent": (np.ones(1, np.int32), np.array([weight]), np.zeros(1, np.int32))}
+        return T.Side(np.array(["x"]), np.array([source]), np.zeros(1, np.int64), lists)
+
+    row = {f"cut_{k}": pa.scalar(0.0) for k in T.KINDS}
+    tile = T.Tile(None, side(2e-9, 0), side(1.0, 1), False, ["p", "q"], row, (0, 1))
+    assert T.kept_scores(tile, rules)[0, 0] == 0.0 and T.linked_cells(tile, rules)[0, 0]
