@@ -194,3 +194,20 @@ def test_known_pairs_are_not_copied_for_every_article(monkeypatch):
     for seed in range(100):
         pairs.add(words(3, seed, longest=30))
     assert len(copied) < 30 and len(pairs.words) == len(pairs.bounds) == len(pairs.scores)
+
+
+def test_words_are_scored_by_bits_as_letter_by_letter():
+    """Words up to and beyond the 32 letters of a number, an empty one, letters beyond 16 bits, and pairs asked twice."""
+    left = ["", "a", "martha", "dwayne", "jellyfish", "𝔞𝔟𝔠é", "ab" * 16, "ba" * 16 + "x", *words(40, 11, longest=34)]
+    right = ["", "marhta", "duane", "smellyfish", "𝔟𝔞𝔠", "ba" * 16, "ab" * 17, *words(40, 12, longest=34)]
+    of_left, of_right = np.divmod(np.arange(len(left) * len(right)), len(right))
+    want = np.array([fuzzy.jaro_winkler(left[i], right[j]) for i, j in zip(of_left, of_right)])
+    short = np.array([max(len(left[i]), len(right[j])) <= fuzzy.LONGEST for i, j in zip(of_left, of_right)])
+    coded = fuzzy._Coded(left, right)
+    assert np.array_equal(coded.scores(of_left[short], of_right[short]), want[short])
+    assert np.array_equal(fuzzy.pair_scores(left, right, of_left, of_right), want)
+    pairs = fuzzy._Pairs(left, 1 << 16)
+    rows = pairs.add(right)
+    cells = (rows[:, None] * len(left) + np.arange(len(left))).ravel()
+    pairs.score([cells, cells[::3], cells[::-1]])
+    assert np.array_equal(pairs.scores, want.reshape(len(left), len(right)).T)
